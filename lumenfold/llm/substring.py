@@ -30,6 +30,7 @@ SPAN = 4
 ROUNDS = 2
 #: Bytes of text in a block of documents, and of names in a bucket; a task holds one of them at a time.
 BLOCK_BYTES = 4 << 20
+SHORT = U((1 << 48) - 1)
 BUCKET_BYTES = 8 << 20
 
 
@@ -80,27 +81,29 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
         yield a, b, Words(buf, off, names=2)
 
 
-def _packed(bucket: np.ndarray, cells: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Rows of ``cells`` by bucket."""
+def _packed(bucket: np.ndarray, names: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Sets of names by bucket, the low 48 bits of each: of 1e13 names, 4 % then meet another's by chance, which costs a comparison and no result."""
     order = np.argsort(bucket, kind="stable")
-    bucket, cells = bucket[order], cells[order]
+    bucket, short = bucket[order], names[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
     for i, a in enumerate(cut):
         b = cut[i + 1] if i + 1 < len(cut) else len(bucket)
-        yield int(bucket[a]), cells[a:b].tobytes()
+        yield int(bucket[a]), short[a:b].tobytes()
 
 
-def _pile(pdf: pd.DataFrame, column: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """All packed rows of a group, and for each the place of its source row."""
-    cells = np.frombuffer(b"".join(pdf[column]), U).reshape(-1, width)
-    return cells, np.repeat(np.arange(len(pdf)), [len(x) // (8 * width) for x in pdf[column]])
+def _names(cells: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The packed names of all rows, and the row of each."""
+    short = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(short), 8), np.uint8)
+    out[:, :6] = short
+    return out.view("<u8")[:, 0], np.repeat(np.arange(len(cells)), [len(x) // 6 for x in cells])
 
 
 def _candidates(words: Words, shared: np.ndarray, window: int) -> np.ndarray:
     """First words of the windows that hold a whole shared span."""
     at, _ = windows(words, window)
     key, first, last = spans(words)
-    hit = np.isin(key, shared)
+    hit = np.isin(key & SHORT, shared)
     first, last = first[hit], last[hit]
     mark = np.zeros(len(words.doc) + 1, np.int64)
     np.add.at(mark, np.maximum(last - window, words.first[words.doc[first]]), 1)
@@ -129,6 +132,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = base.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, min(size[0], -(-int(size[1]) // BLOCK_BYTES)))
     buckets = max(1, -(-int(size[1]) // BUCKET_BYTES))
+    window_buckets = max(1, buckets // 4)
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 4)
     dealt = base.select(F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("id"), F.col("id").isNotNull().alias("known"), "text", block).repartition(parts, "block")
@@ -140,7 +144,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         key, of = [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for a, _, words in _blocks(pa.array(pdf.text, pa.string())):
             k, first, _ = spans(words)
-            key.append(k)
+            key.append(k & SHORT)
             of.append(ids[words.doc[first] + a] if len(k) else of[0])
         key, of = np.concatenate(key), np.concatenate(of)
         order = np.lexsort((of, key))
@@ -154,8 +158,8 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def shared_of(pdf: pd.DataFrame) -> pd.DataFrame:
         """Of a bucket, the names that two documents have, sent back to each block that has them."""
-        cells, row = _pile(pdf, "cells", 1)
-        cells, where = cells[:, 0], pdf.block.to_numpy()[row]
+        cells, row = _names(pdf.cells)
+        where = pdf.block.to_numpy()[row]
         order = np.argsort(cells, kind="stable")
         cells, where = cells[order], where[order]
         same = cells[1:] == cells[:-1]
@@ -166,10 +170,11 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame(list(_packed(where[ok], cells[ok])), columns=["block", "cells"])
 
     def windows_of(texts: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
-        """Of a block, the windows that may repeat: two names and the place of each, by bucket."""
-        shared = np.unique(np.frombuffer(b"".join(keys.cells), U)) if len(keys) else np.zeros(0, U)
+        """Of a block, the windows that may repeat: two names and the place of each, by bucket and document."""
+        own = int(texts.block.iloc[0]) if len(texts) else -1
+        shared = np.unique(_names(keys.cells)[0]) if len(keys) else np.zeros(0, U)
         texts = texts[texts.known] if len(texts) else texts
-        rows = [np.zeros((0, 4), U)]
+        cells = [(np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))]
         if len(shared) and len(texts):
             ids = texts.id.to_numpy()
             for a, _, words in _blocks(pa.array(texts.text, pa.string())):
@@ -178,31 +183,48 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     where, one = windows(words, window, 0)
                     _, two = windows(words, window, 1)
                     pick, doc = np.searchsorted(where, at), words.doc[at]
-                    rows.append(np.stack([one[pick], two[pick], ids[a + doc].view(U), (at - words.first[doc]).astype(U)], 1))
-        rows = np.concatenate(rows)
-        return pd.DataFrame(list(_packed((rows[:, 0] % U(buckets)).astype(np.int64), rows)), columns=["bucket", "cells"])
+                    cells.append((one[pick], two[pick], ids[a + doc], at - words.first[doc]))
+        one, two, of, at = (np.concatenate(x) for x in zip(*cells, strict=True))
+        bucket = (one % U(window_buckets)).astype(np.int64)
+        order = np.lexsort((at, of, bucket))
+        out = []
+        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+            head = np.flatnonzero(np.concatenate([[True], np.diff(of[part]) != 0]))
+            many = np.diff(np.append(head, len(part)))
+            out.append((int(bucket[part[0]]), own, of[part[head]].tobytes(), many.astype(np.uint32).tobytes(), one[part].tobytes(), two[part].astype(np.uint32).tobytes(), at[part].astype(np.uint32).tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "block", "ids", "many", "one", "two", "at"])
 
     def repeats_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of a bucket, the windows that also start in a smaller document: both names agree, 128 bits of the words."""
-        cells, _ = _pile(pdf, "cells", 4)
-        ids = cells[:, 2].view(np.int64)
-        order = np.lexsort((ids, cells[:, 1], cells[:, 0]))
-        cells, ids = cells[order], ids[order]
-        new = np.concatenate([[True], (cells[1:, 0] != cells[:-1, 0]) | (cells[1:, 1] != cells[:-1, 1])])
+        """Of a bucket, the windows that also start in a smaller document: both names agree, 96 bits of the words."""
+        pile = {c: np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (("ids", np.int64), ("many", np.uint32), ("one", U), ("two", np.uint32), ("at", np.uint32))}
+        ids, one, two, at = np.repeat(pile["ids"], pile["many"]), pile["one"], pile["two"], pile["at"]
+        block = np.repeat(pdf.block.to_numpy(), [len(x) // 8 for x in pdf.one])
+        order = np.lexsort((ids, two, one))
+        ids, one, two, at, block = ids[order], one[order], two[order], at[order], block[order]
+        new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
         ok = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-        return pd.DataFrame(list(_packed(ids[ok], cells[ok, 3])), columns=["id", "starts"])
+        ids, at, block = ids[ok], at[ok], block[ok]
+        order = np.lexsort((at, ids, block))
+        ids, at, block = ids[order], at[order], block[order]
+        out = []
+        for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(block)) + 1) if len(ids) else []:
+            head = np.flatnonzero(np.concatenate([[True], np.diff(ids[part]) != 0]))
+            out.append((int(block[part[0]]), ids[part[head]].tobytes(), np.diff(np.append(head, len(part))).astype(np.uint32).tobytes(), at[part].tobytes()))
+        return pd.DataFrame(out, columns=["block", "ids", "many", "at"])
 
     def cut(texts: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
         starts: dict[int, list[bytes]] = {}
-        for i, x in zip(gone.id.tolist() if len(gone) else [], gone.starts if len(gone) else [], strict=True):
-            starts.setdefault(i, []).append(x)
+        for ids, many, at in zip(gone["ids"], gone["many"], gone["at"], strict=True) if len(gone) else ():
+            ends = np.cumsum(np.frombuffer(many, np.uint32)).tolist()
+            for i, a, b in zip(np.frombuffer(ids, np.int64).tolist(), [0, *ends], ends, strict=False):
+                starts.setdefault(i, []).append(at[4 * a : 4 * b])
         out = []
         for i, known, text in zip(texts.id.tolist(), texts.known.tolist(), texts.text, strict=True):
             words = (text or "").encode().split()
             n = len(words)
             if known and i in starts:
                 cover = np.zeros(n + window + 1, np.int64)
-                at = np.frombuffer(b"".join(starts[i]), np.int64)
+                at = np.frombuffer(b"".join(starts[i]), np.uint32).astype(np.int64)
                 at = at[at + window <= n]
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + window, -1)
@@ -213,8 +235,8 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     names = dealt.groupBy("block").applyInPandas(names_of, "bucket long, block long, cells binary")
     common = names.groupBy("bucket").applyInPandas(shared_of, "block long, cells binary").repartition(parts, "block")
-    found = dealt.groupBy("block").cogroup(common.groupBy("block")).applyInPandas(windows_of, "bucket long, cells binary")
-    starts = found.groupBy("bucket").applyInPandas(repeats_of, "id long, starts binary").select("id", "starts", block).repartition(parts, "block")
+    found = dealt.groupBy("block").cogroup(common.groupBy("block")).applyInPandas(windows_of, "bucket long, block long, ids binary, many binary, one binary, two binary, at binary")
+    starts = found.groupBy("bucket").applyInPandas(repeats_of, "block long, ids binary, many binary, at binary").repartition(parts, "block")
     out = dealt.groupBy("block").cogroup(starts.groupBy("block")).applyInPandas(cut, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.withColumn("id", F.col("id").cast(id_type)).withColumnRenamed("id", id_col)
 
