@@ -33,7 +33,7 @@ SLICE = 1 << 14
 #: weigh an eighth of a changed one, and true copies would fall below the threshold.
 STRENGTH = 0.1
 #: Members of a band that one task compares with as many others.
-BLOCK = 2048
+BLOCK = 512
 
 
 def _shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,8 +153,8 @@ def near_duplicates(
     belongs to its text's class, and is that class's id only if no other id exists (null then). An empty table gives no rows.
 
     A band's members are first checked against their least member. Members of a band that are in
-    different components afterwards are compared with all others of that band in blocks, by samples, then by texts;
-    so no band is capped and no link that a band offers is lost.
+    different components afterwards are compared with all others of that band in blocks: by samples, then by texts, until
+    one link to each component is found or no candidate is left; so no band is capped and no class that a band offers is lost.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "near")
@@ -210,32 +210,40 @@ def near_duplicates(
     sizes = placed.groupBy("band", "root").count()
     mixed = tables.keep(sizes.groupBy("band").agg(F.count(F.lit(1)).alias("roots"), F.sum("count").alias("n"), F.max(F.struct("count", "root")).alias("most")).where("roots > 1"))
     if mixed.limit(1).count():
-        open_ = placed.join(mixed.select("band", "n", F.col("most.root").alias("main"), F.col("most.count").alias("m")), "band").join(nodes, "node")
+        open_ = placed.join(mixed.select("band", "n", F.col("most.root").alias("main"), F.col("most.count").alias("m")), "band")
+        held = _texts(open_.select("node").distinct(), signed, docs, id_col, text_col, tables)
         few = (F.col("root") != F.col("main")).alias("few")
         t, q = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)), F.greatest(F.ceil((F.col("n") - F.col("m")) / BLOCK), F.lit(1))
-        spot = F.xxhash64("node")
-        one = open_.select("band", "node", "root", "samples", few, t.cast("long").alias("t"), q.cast("long").alias("q"), spot.alias("h"))
-        rows_ = one.select("*", F.lit(False).alias("asks"), F.pmod("h", "t").alias("tb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).alias("qb")).union(
-            one.where("few").select("*", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1)).alias("tb"), F.pmod("h", "q").alias("qb"))
+        full = open_.join(nodes, "node").join(held, "node")
+        one = full.select("band", "node", "root", "samples", "text", few, t.cast("long").alias("t"), q.cast("long").alias("q"), F.xxhash64("node").alias("h"))
+        zero = F.lit(0).cast("long")
+        rows_ = one.select("*", F.lit(False).alias("asks"), F.pmod("h", "t").alias("tb"), F.explode(F.sequence(zero, F.col("q") - 1)).alias("qb")).union(
+            one.where("few").select("*", F.lit(True).alias("asks"), F.explode(F.sequence(zero, F.col("t") - 1)).alias("tb"), F.pmod("h", "q").alias("qb"))
         )
+        least_like = count * threshold - 4 * math.sqrt(count * threshold * (1 - threshold))
 
         def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-            ask, rest = pdf[pdf.asks], pdf[~pdf.asks]
-            out_a, out_b = [], []
-            if len(ask) and len(rest):
-                theirs = np.frombuffer(b"".join(rest.samples), U).reshape(len(rest), count)
-                root, node = rest.root.to_numpy(), rest.node.to_numpy()
-                for n, r, s in zip(ask.node, ask.root, ask.samples, strict=True):
-                    like = (theirs == np.frombuffer(s, U)).sum(1)
-                    # Five standard errors below the threshold: a true link is lost with probability 3e-7.
-                    for i in np.flatnonzero(like >= count * threshold - 5 * math.sqrt(count * threshold * (1 - threshold))):
-                        if root[i] != r:
-                            out_a.append(min(n, node[i]))
-                            out_b.append(max(n, node[i]))
-            return pd.DataFrame({"a": out_a, "b": out_b})
-
-        second = rows_.select("band", "qb", "tb", "node", "root", "samples", "asks").groupBy("band", "qb", "tb").applyInPandas(compare, "a binary, b binary").distinct()
-        links = links.union(check(second.join(first, ["a", "b"], "left_anti")))
+            """Links between components of a band's block: candidates by falling agreement, up to the first true link to each component."""
+            asks = pdf.asks.to_numpy()
+            ask, rest = np.flatnonzero(asks), np.flatnonzero(~asks)
+            out: list[tuple[bytes, bytes]] = []
+            if not len(ask) or not len(rest):
+                return pd.DataFrame(out, columns=["a", "b"])
+            sample = np.frombuffer(b"".join(pdf.samples), U).reshape(len(pdf), count)
+            node, root = pdf.node.to_numpy(), pd.factorize(pdf.root)[0]
+            sets = _sets(pdf.text, Weights(*shared.value), shingle)
+            for x in ask:
+                like = (sample[rest] == sample[x]).sum(1)
+                near_ = np.flatnonzero((like >= least_like) & (root[rest] != root[x]))
+                near_ = rest[near_[np.argsort(-like[near_], kind="stable")]]
+                for r in np.unique(root[near_]):
+                    hit = next((y for y in near_[root[near_] == r] if sets.similar(x, y) >= threshold - 1e-9), None)
+                    if hit is not None:
+                        out.append((min(node[x], node[hit]), max(node[x], node[hit])))
+            return pd.DataFrame(out, columns=["a", "b"])
+
+        second = rows_.select("band", "qb", "tb", "node", "root", "samples", "text", "asks").groupBy("band", "qb", "tb").applyInPandas(compare, "a binary, b binary")
+        links = links.union(tables.keep(second.distinct()))
         groups = tables.keep(components(links, tables))
     tables.drop(met, lead, mixed, nodes)
 
@@ -244,44 +252,60 @@ def near_duplicates(
     return member.join(least, "root").select(F.col("id").alias(id_col), "class_id", "class_size")
 
 
+class _sets:
+    """Weighted shingle sets of some texts."""
+
+    def __init__(self, texts: pd.Series, weights: Weights, shingle: int):
+        doc, name, n = [], [], []
+        for a, _, buf, off in pieces(pa.array(texts, pa.string())):
+            d, k, c = _counted(*_shingles(Words(buf, off), shingle))
+            doc.append(d + a)
+            name.append(k)
+            n.append(c)
+        doc, self.name, n = np.concatenate(doc), np.concatenate(name), np.concatenate(n)
+        self.weight = weights.of(self.name, n)
+        self.bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+        self.total = np.add.reduceat(np.append(self.weight, 0), self.bounds[:-1]) * (np.diff(self.bounds) > 0)
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.bounds[i], self.bounds[i + 1])
+        return self.name[part], self.weight[part]
+
+    def similar(self, i: int, j: int) -> float:
+        """Weighted Jaccard similarity of two texts."""
+        (a, wa), (b, wb) = self.of(i), self.of(j)
+        if not len(a) or not len(b):
+            return 0.0
+        at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+        same = a[at] == b
+        both = np.minimum(wa[at[same]], wb[same]).sum()
+        return both / (self.total[i] + self.total[j] - both)
+
+
+def _texts(wanted: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, tables: Tables) -> DataFrame:
+    """``node, text``: the text of a node is that of its document with the least id; equal words give equal shingles."""
+    owner = signed.join(wanted, "node").groupBy("node").agg(F.min("id").alias("id"))
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return tables.keep(text.join(owner, text["id"].eqNullSafe(owner["id"])).select("node", "text").dropDuplicates(["node"]))
+
+
 def _verified(pairs, signed, docs, id_col, text_col, shared, shingle, threshold, tables) -> DataFrame:
     """The pairs of nodes whose texts reach the threshold; a hot first node is dealt out in chunks of a few hundred partners."""
     pairs = tables.keep(pairs)
     load = tables.keep(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).cast("long").alias("chunks")))
     dealt = tables.keep(pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk")))
-    wanted = dealt.select(F.col("a").alias("node")).union(dealt.select("b")).distinct()
-    # The text of a node is that of its documents with the least id; equal words give equal shingles.
-    owner = signed.join(wanted, "node").groupBy("node").agg(F.min("id").alias("id"))
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    held = tables.keep(text.join(owner, text["id"].eqNullSafe(owner["id"])).select("node", "text").dropDuplicates(["node"]))
+    held = _texts(dealt.select(F.col("a").alias("node")).union(dealt.select("b")).distinct(), signed, docs, id_col, text_col, tables)
     left = dealt.select("a", "chunk").distinct().join(held, F.col("a") == F.col("node")).select("a", "chunk", F.lit(None).cast("binary").alias("b"), "text")
     right = dealt.join(held, F.col("b") == F.col("node")).select("a", "chunk", "b", "text")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        weights = Weights(*shared.value)
-        doc, name, n = [], [], []
-        for a, _, buf, off in pieces(pa.array(pdf.text, pa.string())):
-            d, k, c = _counted(*_shingles(Words(buf, off), shingle))
-            doc.append(d + a)
-            name.append(k)
-            n.append(c)
-        doc, name, n = np.concatenate(doc), np.concatenate(name), np.concatenate(n)
-        weight = weights.of(name, n)
-        bounds = np.searchsorted(doc, np.arange(len(pdf) + 1))
-        total = np.add.reduceat(np.append(weight, 0), bounds[:-1]) * (np.diff(bounds) > 0)
-        heads = [i for i, b in enumerate(pdf.b) if b is None]
-        good = []
-        for h in heads[:1]:
-            own, own_w = name[bounds[h] : bounds[h + 1]], weight[bounds[h] : bounds[h + 1]]
-            at = np.minimum(np.searchsorted(own, name), max(len(own) - 1, 0))
-            least = np.where(own[at] == name, np.minimum(own_w[at], weight), 0) if len(own) else np.zeros(len(name))
-            both = np.add.reduceat(np.append(least, 0), bounds[:-1]) * (np.diff(bounds) > 0)
-            similar = both / np.maximum(total + total[h] - both, 1e-9)
-            good = [i for i in range(len(pdf)) if i != h and similar[i] >= threshold - 1e-9]
+        sets = _sets(pdf.text, Weights(*shared.value), shingle)
+        head = next(i for i, b in enumerate(pdf.b) if b is None)
+        good = [i for i, b in enumerate(pdf.b) if b is not None and sets.similar(head, i) >= threshold - 1e-9]
         return pd.DataFrame({"a": [pdf.a[i] for i in good], "b": [pdf.b[i] for i in good]})
 
     out = tables.keep(left.union(right).groupBy("a", "chunk").applyInPandas(compare, "a binary, b binary"))
-    tables.drop(held, load, dealt)
+    tables.drop(held, load, dealt, pairs)
     return out
 
 
