@@ -90,9 +90,16 @@ class Sampler:
                 z ^= z >> U(32)
                 z *= BASE[0]
                 r = self.r[z >> U(48)]
-                t = np.floor(log_w / r + ((z >> U(24)) & U(0xFFFFFF)).astype(np.float32) * np.float32(2.0**-24))
-                # The fraction that t was rounded with comes back in ln y = r (t - beta).
-                a = self.c[(z ^ (z >> U(20))) & U(0xFFFFF)] - r * (t - ((z >> U(24)) & U(0xFFFFFF)).astype(np.float32) * np.float32(2.0**-24)) - r
+                # beta, the fraction that t is rounded with, comes back in ln y = r (t - beta).
+                beta = (z.view(np.uint32)[1::2] & np.uint32(0xFFFF)).astype(np.float32)
+                beta *= np.float32(2.0**-16)
+                t = log_w / r
+                t += beta
+                np.floor(t, out=t)
+                a = t - beta
+                a += 1
+                a *= r
+                np.subtract(self.c[z.view(np.uint32)[::2] >> np.uint32(12)], a, out=a)
                 least = np.minimum.reduceat(a, start)
                 hit = np.flatnonzero(a == least[of])
                 hit = hit[np.searchsorted(of[hit], np.arange(len(start)))]
@@ -168,7 +175,7 @@ def near_duplicates(
         weights, sampler = Weights(*shared.value), Sampler(count)
         for batch in batches:
             text = batch.column(1)
-            for a, b, buf, off in pieces(text, 1 << 18):
+            for a, b, buf, off in pieces(text, 1 << 17):
                 raw = buf.tobytes()
                 nodes = [hashlib.blake2b(b" ".join(raw[off[i] : off[i + 1]].split()), digest_size=16).digest() for i in range(b - a)]
                 doc, name, n = _counted(*_shingles(Words(buf, off), shingle))
@@ -237,7 +244,7 @@ def near_duplicates(
                 near_ = np.flatnonzero((like >= least_like) & (root[rest] != root[x]))
                 near_ = rest[near_[np.argsort(-like[near_], kind="stable")]]
                 for r in np.unique(root[near_]):
-                    hit = next((y for y in near_[root[near_] == r] if sets.similar(x, y) >= threshold - 1e-9), None)
+                    hit = next((y for y in near_[root[near_] == r] if sets.similar(x, y, threshold - 1e-6) >= threshold - 1e-9), None)
                     if hit is not None:
                         out.append((min(node[x], node[hit]), max(node[x], node[hit])))
             return pd.DataFrame(out, columns=["a", "b"])
@@ -271,11 +278,13 @@ class _sets:
         part = slice(self.bounds[i], self.bounds[i + 1])
         return self.name[part], self.weight[part]
 
-    def similar(self, i: int, j: int) -> float:
+    def similar(self, i: int, j: int, least: float = 0.0) -> float:
         """Weighted Jaccard similarity of two texts."""
         (a, wa), (b, wb) = self.of(i), self.of(j)
-        if not len(a) or not len(b):
-            return 0.0
+        # The totals alone bound the similarity; below the threshold the bound is as good an answer.
+        low, high = sorted((self.total[i], self.total[j]))
+        if low <= 0 or low < least * high:
+            return low / high if low > 0 else 0.0
         at = np.minimum(np.searchsorted(a, b), len(a) - 1)
         same = a[at] == b
         both = np.minimum(wa[at[same]], wb[same]).sum()
@@ -301,7 +310,7 @@ def _verified(pairs, signed, docs, id_col, text_col, shared, shingle, threshold,
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = _sets(pdf.text, Weights(*shared.value), shingle)
         head = next(i for i, b in enumerate(pdf.b) if b is None)
-        good = [i for i, b in enumerate(pdf.b) if b is not None and sets.similar(head, i) >= threshold - 1e-9]
+        good = [i for i, b in enumerate(pdf.b) if b is not None and sets.similar(head, i, threshold - 1e-6) >= threshold - 1e-9]
         return pd.DataFrame({"a": [pdf.a[i] for i in good], "b": [pdf.b[i] for i in good]})
 
     out = tables.keep(left.union(right).groupBy("a", "chunk").applyInPandas(compare, "a binary, b binary"))
