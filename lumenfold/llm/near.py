@@ -82,27 +82,39 @@ class Sampler:
     def draw(self, start: np.ndarray, doc: np.ndarray, name: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """One row of sample names for each document; ``start``: where each document's shingles begin."""
         log_w = np.log(weight).astype(np.float32)
+        sizes = np.diff(np.concatenate([start, [len(name)]]))
         out = np.zeros((len(start), len(self.shift)), U)
-        of = np.repeat(np.arange(len(start)), np.diff(np.concatenate([start, [len(name)]])))
+        # Every pass reuses the same few buffers, which stay in the processor's cache.
+        z, at = np.empty(len(name), U), np.empty(len(name), U)
+        r, beta, t, a = (np.empty(len(name), np.float32) for _ in range(4))
+        index = at.view(np.int64)
         with np.errstate(over="ignore"):
             for k, odd in enumerate(self.shift):
-                z = name * odd
-                z ^= z >> U(32)
+                np.multiply(name, odd, out=z)
+                np.right_shift(z, U(32), out=at)
+                z ^= at
                 z *= BASE[0]
-                r = self.r[z >> U(48)]
+                np.right_shift(z, U(48), out=at)
+                np.take(self.r, index, out=r, mode="clip")
                 # beta, the fraction that t is rounded with, comes back in ln y = r (t - beta).
-                beta = (z.view(np.uint32)[1::2] & np.uint32(0xFFFF)).astype(np.float32)
+                np.right_shift(z, U(32), out=at)
+                at &= U(0xFFFF)
+                np.copyto(beta, index, casting="same_kind")
                 beta *= np.float32(2.0**-16)
-                t = log_w / r
+                np.divide(log_w, r, out=t)
                 t += beta
                 np.floor(t, out=t)
-                a = t - beta
+                np.subtract(t, beta, out=a)
                 a += 1
                 a *= r
-                np.subtract(self.c[z.view(np.uint32)[::2] >> np.uint32(12)], a, out=a)
+                np.right_shift(z, U(12), out=at)
+                at &= U(0xFFFFF)
+                np.take(self.c, index, out=r, mode="clip")
+                np.subtract(r, a, out=a)
                 least = np.minimum.reduceat(a, start)
-                hit = np.flatnonzero(a == least[of])
-                hit = hit[np.searchsorted(of[hit], np.arange(len(start)))]
+                hit = np.flatnonzero(a == np.repeat(least, sizes))
+                if len(hit) > len(start):  # ties: the first
+                    hit = hit[np.searchsorted(hit, start)]
                 out[:, k] = mix(name[hit] ^ (t[hit].astype(np.int64).astype(U) * BASE[1]))
         return out
 
@@ -238,13 +250,23 @@ def near_duplicates(
                 return pd.DataFrame(out, columns=["a", "b"])
             sample = np.frombuffer(b"".join(pdf.samples), U).reshape(len(pdf), count)
             node, root = pdf.node.to_numpy(), pd.factorize(pdf.root)[0]
-            sets = _sets(pdf.text, Weights(*shared.value), shingle)
+            theirs, their_root = sample[rest], root[rest]
+            maybe: list[tuple[int, np.ndarray]] = []
             for x in ask:
-                like = (sample[rest] == sample[x]).sum(1)
-                near_ = np.flatnonzero((like >= least_like) & (root[rest] != root[x]))
-                near_ = rest[near_[np.argsort(-like[near_], kind="stable")]]
+                like = np.count_nonzero(theirs == sample[x], axis=1)
+                near_ = np.flatnonzero((like >= least_like) & (their_root != root[x]))
+                if len(near_):
+                    maybe.append((x, rest[near_[np.argsort(-like[near_], kind="stable")]]))
+            if not maybe:
+                return pd.DataFrame(out, columns=["a", "b"])
+            # Only texts with a candidate are cut into shingles.
+            used = np.unique(np.concatenate([[x for x, _ in maybe], *(y for _, y in maybe)]))
+            place = np.zeros(len(pdf), np.int64)
+            place[used] = np.arange(len(used))
+            sets = _sets(pdf.text.iloc[used], Weights(*shared.value), shingle)
+            for x, near_ in maybe:
                 for r in np.unique(root[near_]):
-                    hit = next((y for y in near_[root[near_] == r] if sets.similar(x, y, threshold - 1e-6) >= threshold - 1e-9), None)
+                    hit = next((y for y in near_[root[near_] == r] if sets.similar(place[x], place[y], threshold - 1e-6) >= threshold - 1e-9), None)
                     if hit is not None:
                         out.append((min(node[x], node[hit]), max(node[x], node[hit])))
             return pd.DataFrame(out, columns=["a", "b"])
