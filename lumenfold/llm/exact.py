@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.rows import pick, row_key
+
 #: Characters that do not count: ``[\x20\x09-\x0D]``.
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -38,12 +40,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; rows repeated with id and text stay once."""
-    verdict = exact_dedup(docs, id_col, text_col)
-    stay = verdict.where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
-    keyed = docs.withColumn("__digest", F.sha2(normalized(F.col(text_col)), 256)).withColumn("__size", F.char_length(F.coalesce(F.col(text_col), F.lit(""))))
-    out = keyed.join(stay.withColumnRenamed("__digest", "__d2"), keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__d2")))
-    return out.drop("__id", "__digest", "__d2", "__size")
+    """One row of every group of equal texts, with all its columns: that of ``exact_dedup``.
+
+    Of rows that repeat its id too, the one with the most code points stays, once.
+    """
+    stay = exact_dedup(docs, id_col, text_col).where("kept").select(row_key(F.col("text_sha256"), F.col(id_col)).alias("__stay")).distinct()
+    key = row_key(F.sha2(normalized(F.col(text_col)), 256), F.col(id_col))
+    return pick(docs, key, stay, F.char_length(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 ORACLE = r"""

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.graph import components
+from lumenfold.llm.rows import pick, row_key
 from lumenfold.llm.store import Tables
 from lumenfold.llm.textarrays import BASE, U, Words, mix, pieces, windows
 
@@ -163,7 +164,7 @@ def document_frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """One row per document: ``id, class_id, copies_of_class``.
+    """One row per document: ``id, class_id, class_size``.
 
     Classes are the connected components of documents whose weighted Jaccard similarity is at least
     ``threshold``; ``class_id`` is the least id in the class, ``class_size`` its number of documents. Words are taken as they
@@ -175,6 +176,17 @@ def near_duplicates(
     different components afterwards are compared with all others of that band in blocks: by samples, then by texts, until
     one link to each component is found or no candidate is left; so no band is capped and no class that a band offers is lost.
     """
+    member, least = _classes(docs, id_col, text_col, shingle, threshold, bands, rows)
+    return member.join(least, "root").select(F.col("id").alias(id_col), "class_id", "class_size")
+
+
+def _digest(text_col: str):
+    """Tells rows that share an id, or have none, apart by their texts."""
+    return F.xxhash64(F.col(text_col))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """``id, root`` of every document, and ``root, class_id, class_size, first`` of every class; ``first`` names its row of least id."""
     spark = docs.sparkSession
     tables = Tables(spark, "near")
     texts = docs.select(F.col(text_col).alias("text"))
@@ -197,10 +209,10 @@ def near_duplicates(
                     got = sampler.draw(start, doc, name, weights.of(name, n))
                     for i, row in zip(doc[start].tolist(), got, strict=True):
                         samples[i] = row.tobytes()
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(nodes, pa.binary()), pa.array(samples, pa.binary())], names=["id", "node", "samples"])
+                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(nodes, pa.binary()), pa.array(samples, pa.binary())], names=["id", "digest", "node", "samples"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    signed = tables.keep(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, f"id {id_type}, node binary, samples binary"))
+    signed = tables.keep(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _digest(text_col).alias("digest")).mapInArrow(sign, f"id {id_type}, digest long, node binary, samples binary"))
     nodes = tables.keep(signed.groupBy("node").agg(F.first("samples").alias("samples")))
 
     def bands_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,9 +288,10 @@ def near_duplicates(
         groups = tables.keep(components(links, tables))
     tables.drop(met, lead, mixed, nodes)
 
-    member = signed.select("id", "node").join(groups, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    least = member.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return member.join(least, "root").select(F.col("id").alias(id_col), "class_id", "class_size")
+    member = signed.select("id", "digest", "node").join(groups, "node", "left").select("id", "digest", F.coalesce("root", "node").alias("root"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest"))
+    least = member.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), first.alias("first"))
+    return member, least
 
 
 class _sets:
@@ -315,9 +328,9 @@ class _sets:
 
 def _texts(wanted: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, tables: Tables) -> DataFrame:
     """``node, text``: the text of a node is that of its document with the least id; equal words give equal shingles."""
-    owner = signed.join(wanted, "node").groupBy("node").agg(F.min("id").alias("id"))
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return tables.keep(text.join(owner, text["id"].eqNullSafe(owner["id"])).select("node", "text").dropDuplicates(["node"]))
+    owner = signed.join(wanted, "node").groupBy("node").agg(F.min(F.struct("id", "digest")).alias("o")).select("node", "o.id", "o.digest")
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _digest(text_col).alias("digest"))
+    return tables.keep(text.join(owner, text["id"].eqNullSafe(owner["id"]) & (text["digest"] == owner["digest"])).select("node", "text").dropDuplicates(["node"]))
 
 
 def _verified(pairs, signed, docs, id_col, text_col, shared, shingle, threshold, tables) -> DataFrame:
@@ -340,10 +353,13 @@ def _verified(pairs, signed, docs, id_col, text_col, shared, shingle, threshold,
     return out
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each class with all its columns: the one with the least id (rows repeated with that id stay once)."""
-    classes = near_duplicates(docs, id_col, text_col, **options)
-    # Documents whose id is null stay: their class cannot be told apart by id.
-    stay = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__stay")).distinct()
-    out = docs.join(stay, docs[id_col].eqNullSafe(stay["__stay"])).drop("__stay")
-    return out
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """One row of each class with all its columns: the one with the least id (a null id comes last).
+
+    Of rows that share this id, the one of least hashed text stays, once; rows with one id in other classes do not stay with it.
+    """
+    _, least = _classes(docs, id_col, text_col, shingle, threshold, bands, rows)
+    stay = least.select(row_key(F.col("first.digest"), F.col("first.id")).alias("__stay")).distinct()
+    return pick(docs, row_key(_digest(text_col), F.col(id_col)), stay, F.lit(0))
