@@ -32,3 +32,11 @@ def test_query(spark, tables, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 210
     assert set(linear.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_pattern_symmetry_reads_all_parts(spark):
+    """sf0.01 has 2,000 parts; the query reads every one of them."""
+    whole = duckdb.sql("""
+        WITH e AS (SELECT DISTINCT l_partkey AS r, l_suppkey AS c FROM '/root/testdata/sf0.01/lineitem.parquet' WHERE l_partkey <> l_suppkey)
+        SELECT floor(count(f.r) / CAST(count(*) AS DOUBLE) * 1e6 + 0.5) / 1e6, count(f.r) = count(*) FROM e LEFT JOIN e f ON f.r = e.c AND f.c = e.r""").fetchall()
+    assert [tuple(r) for r in linear.QUERIES["pattern_symmetry"](spark, "/root/testdata/sf0.01").collect()] == whole
