@@ -20,7 +20,7 @@ BLOCKS = {
 }
 OUT = {"nav", "footer", "aside", "form", "menu", "dialog", "select", "button", "head", "fieldset", "search", "header"}
 BAD_NAMES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disqus", "footer", "form",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "commentlist", "comments", "cookie", "cookies", "consent", "disqus", "footer", "form",
     "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "related", "recommended", "reply", "replies", "respond", "share", "sharing",
     "sidebar", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget", "alert", "paywall", "login", "signup", "skip", "copyright", "legal", "meta", "tags",
 }
@@ -148,9 +148,9 @@ def blocks(page: str) -> list[Block]:
 def classify(found: list[Block]) -> list[bool]:
     """Which blocks are main text.
 
-    Pass one: link density, length and stop-word density decide; inside an article a block is main text
-    unless it is mostly links, inside boilerplate never. Pass two: an undecided block takes the label of the nearest decided neighbours
-    (both sides if they agree, else the nearer, main text on a tie); without any, it is main text if the page has no article.
+    Pass one: link density, length and stop-word density decide; inside boilerplate a block never is. Pass two: an undecided block takes
+    the label of the nearest decided neighbours outside boilerplate (both sides if they agree; else main text inside an article, and outside one the
+    nearer, main text on a tie); without any, it is main text. An article or main element decides nothing else.
     """
     labels: list[bool | None] = []
     for b in found:
@@ -160,33 +160,29 @@ def classify(found: list[Block]) -> list[bool]:
             labels.append(False)
         elif density > MOST_LINKS:
             labels.append(False)
-        elif b.where > 0:
-            labels.append(True)
         elif len(words) < SHORT:
             labels.append(None)
         else:
             stop = sum(w in STOP for w in words) / len(words)
             labels.append(True if stop >= STOP_HIGH or len(words) >= LONG and stop >= STOP_LOW else None)
-    if any(b.where > 0 for b in found):
-        # An article says where the main text is; what lies outside it is not.
-        return [bool(x) and b.where > 0 for x, b in zip(labels, found, strict=True)]
     n = len(found)
     before: list[tuple[int, bool] | None] = [None] * n
     last = None
     for i, x in enumerate(labels):
         before[i] = last
-        last = (i, x) if x is not None else last
+        last = (i, x) if x is not None and found[i].where >= 0 else last
     out, nxt = [False] * n, None
     for i in range(n - 1, -1, -1):
         x = labels[i]
         if x is None:
             a, b = before[i], nxt
-            if a and b:
-                out[i] = a[1] if a[1] == b[1] else (a[1] if i - a[0] < b[0] - i else b[1] if b[0] - i < i - a[0] else True)
+            if a and b and a[1] != b[1]:
+                out[i] = found[i].where > 0 or (a[1] if i - a[0] < b[0] - i else b[1] if b[0] - i < i - a[0] else True)
             else:
                 out[i] = (a or b or (0, True))[1]
         else:
-            out[i], nxt = x, (i, x)
+            out[i] = x
+            nxt = (i, x) if found[i].where >= 0 else nxt
     return out
 
 

@@ -237,6 +237,18 @@ def test_html(spark):
         assert got[i].text == PAGES.get(h, "") and got[i].n_chars == len(got[i].text)
 
 
+PROSE = "The cat sat on the mat and it was the best of all the places that it had been to in the whole of the day."
+TEASER = "Read more on the story of the dog that was in the garden with a ball."
+
+
+def test_html_article_is_not_all():
+    """Both passes decide on pages with an article: text outside it stays, link lists inside it and what lies between them go."""
+    assert html.main_text(f"<div><p>{PROSE}</p><p>So it was.</p><article><p>{TEASER}</p></article><p>{PROSE}</p></div>") == f"{PROSE} So it was. {TEASER} {PROSE}"
+    lists = "<p><a href=x>One story</a></p><p>See also</p><p><a href=y>Two stories</a></p>"
+    assert html.main_text(f"<article><p>{PROSE}</p>{lists}<ol class=commentlist><li>{TEASER}</li></ol></article>") == PROSE
+    assert html.main_text(f"<article><p>{PROSE}</p><p>So it was.</p><p><a href=x>One story</a></p></article>") == f"{PROSE} So it was."
+
+
 def test_empty_tables(spark, docs):
     none, labels = docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     from pyspark.sql import functions as F
