@@ -25,6 +25,17 @@ BAD_NAMES = {
     "sidebar", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget", "alert", "paywall", "login", "signup", "skip", "copyright", "legal", "meta", "tags",
 }
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
+#: Names of other texts than the page's own: only these mark an article, and an article inside does not undo them.
+OTHERS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "comment", "commentlist", "comments", "disqus", "promo", "promoted", "recommended", "related", "replies", "reply", "sponsor", "sponsored",
+}
+#: Words that follow a name for a part of a page, first words of topic and layout classes, and words that turn a name round.
+PARTS = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "container", "content", "form", "group", "holder", "icons", "inner", "item", "items", "left", "link", "links", "list", "message",
+    "outer", "overlay", "panel", "popup", "posts", "right", "row", "section", "slot", "text", "top", "unit", "widget", "widgets", "wrap", "wrapper", "zone",
+}
+TOPICS = {"cat", "category", "format", "layout", "tag", "template", "theme", "topic", "type"}
+UNLIKE = {"has", "hide", "no", "not", "with", "without"}
 GOOD = {"article", "main"}
 #: Frequent function words (fixed values): English, German, French, Spanish.
 STOP = set(
@@ -42,24 +53,42 @@ MOST_LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.5, 10, 30, 0.05, 0.2
 UNCLOSED = {"p", "li", "dd", "dt", "option", "td", "th", "tr", "thead", "tbody", "tfoot"}
 
 
-def _boilerplate(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds no main text. A header inside an article is part of it."""
+def _named(value: str, article: bool, inside: bool) -> str | None:
+    """The name that marks a class or id as boilerplate: a token that is one, or a compound with one as its head or before a part of a page."""
+    found = None
+    for token in value.split():
+        parts = NAME.findall(token)
+        if not parts or inside and set(parts) & {"header", "title", "meta", "headline"} or parts[0] in TOPICS or set(parts) & UNLIKE:
+            continue
+        if parts[-1] in BAD_NAMES and (len(parts) == 1 or not article):
+            name = parts[-1]
+        elif parts[0] in BAD_NAMES and parts[-1] in PARTS and not article:
+            name = parts[0]
+        else:
+            continue
+        if name in OTHERS:
+            return name
+        found = None if article else name
+    return found
+
+
+def _boilerplate(name: str, attributes: str, article: bool, inside: bool) -> tuple[bool, str | None]:
+    """Whether an element holds no main text, and the name in its class or id that says so. A header inside an article is part of it."""
     if name in OUT and not (name == "header" and inside):
-        return True
+        return True, None
     if not attributes or name in ("html", "body"):
-        return False
+        return False, None
+    named = None
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
-            for token in value.split():
-                parts = NAME.findall(token)
-                if parts and not (inside and set(parts) & {"header", "title", "meta", "headline"}) and any(x in BAD_NAMES for x in parts):
-                    return True
+            new = _named(value, article, inside)
+            named = new if new in OTHERS else named or new
         elif key == "role" and value in BAD_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return True, None
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return True, None
+    return False, named
 
 
 class Block:
@@ -69,18 +98,39 @@ class Block:
         self.text, self.links, self.where = text, links, where
 
 
+class Mark:
+    """An element that is boilerplate by its class or id, until an article or main element inside undoes that."""
+
+    __slots__ = ("name", "undone")
+
+    def __init__(self, name: str):
+        self.name, self.undone = name, False
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order. ``where``: -1 inside boilerplate, 1 inside an article or main element, else 0."""
     out: list[Block] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, whether it is boilerplate, whether it is an article
+    under: list[tuple[Block, list[Mark]]] = []
+    open_: list[tuple[str, bool, bool, bool]] = []  # name, whether it is boilerplate, whether it is an article, whether it has a mark
+    marks: list[Mark] = []
     bad = good = links = linked = 0
     parts: list[str] = []
 
+    def close() -> str:
+        nonlocal bad, good
+        name, b, g, marked = open_.pop()
+        bad, good = bad - b, good - g
+        if marked:
+            marks.pop()
+        return name
+
     def flush() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
             out.append(Block(text, linked, -1 if bad else 1 if good else 0))
+            if marks and not bad:
+                under.append((out[-1], marks.copy()))
         parts.clear()
         linked = 0
 
@@ -111,11 +161,8 @@ def blocks(page: str) -> list[Block]:
             elif name == "a":
                 links = max(0, links - 1)
             if any(x[0] == name for x in open_):
-                while True:
-                    top = open_.pop()
-                    bad, good = bad - top[1], good - top[2]
-                    if top[0] == name:
-                        break
+                while close() != name:
+                    pass
             continue
         if name in RAW:
             if not m[4].endswith("/"):
@@ -133,15 +180,25 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         while open_ and name in UNCLOSED and open_[-1][0] == name:
-            top = open_.pop()
-            bad, good = bad - top[1], good - top[2]
-        b = _boilerplate(name, m[4], good > 0)
-        g = name in GOOD or 'role="main"' in m[4].lower() or "articlebody" in m[4].lower()
-        if b and name not in BLOCKS:
+            close()
+        main = name == "main" or 'role="main"' in m[4].lower()
+        g = main or name in GOOD or "articlebody" in m[4].lower()
+        b, named = _boilerplate(name, m[4], g, good > 0)
+        if (b or named) and name not in BLOCKS:
             flush()
-        open_.append((name, b, g))
+        if g and not (b or named or bad):
+            for mark in reversed(marks):
+                if not main and mark.name in OTHERS:
+                    break
+                mark.undone = True
+        open_.append((name, b, g, named is not None))
         bad, good = bad + b, good + g
+        if named:
+            marks.append(Mark(named))
     flush()
+    for block, held in under:
+        if not all(mark.undone for mark in held):
+            block.where = -1
     return out
 
 

@@ -249,6 +249,17 @@ def test_html_article_is_not_all():
     assert html.main_text(f"<article><p>{PROSE}</p><p>So it was.</p><p><a href=x>One story</a></p></article>") == f"{PROSE} So it was."
 
 
+@pytest.mark.parametrize("wrapper", ["div class=has-sidebar", "div class='content no-comments'", "div id=page-with-header", "div class=widget-area", "section class='menu'", "div class=tag-legal"])
+def test_html_wrapper_names(wrapper):
+    """A layout class around the page, or a topic class of the article, leaves the text."""
+    for topic in ("post category-legal", "social-policy", "format-form share", "tags", "legal"):
+        page = f"<body><{wrapper}><p>{TEASER}</p><article class='{topic}'><p>{PROSE}</p></article><div class=site-footer><p>{PROSE}</p></div></{wrapper.split()[0]}><div class='sidebar-box'>{PROSE}</div>"
+        assert html.main_text(page) == f"{TEASER} {PROSE}"
+    if "area" not in wrapper and "menu" not in wrapper:
+        assert html.main_text(f"<{wrapper}><p>{PROSE}</p></{wrapper.split()[0]}>") == PROSE
+    assert html.main_text(f"<main><p>{PROSE}</p></main><div class=post-comments><article class=comment-body><p>{TEASER}</p></article></div><nav><article>{TEASER}</article></nav>") == PROSE
+
+
 def test_empty_tables(spark, docs):
     none, labels = docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     from pyspark.sql import functions as F
