@@ -48,8 +48,11 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 NAME = re.compile(r"[a-z]+")
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Pass one: a block with more of its characters in links is bad; one of few words is undecided; stop words decide a long one.
-MOST_LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.5, 10, 30, 0.05, 0.2
+#: Letters of scripts without spaces between words (Thai, Lao, Khmer, Burmese, kana, Han): so many count as a word.
+UNSPACED, LETTERS_A_WORD = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"), 2
+#: Pass one: a block with more of its characters in links is bad; one of few words is undecided; a long one is main text by stop words, or by length alone
+#: if few of its characters are in links or the page is in no language of STOP; stop words decide one between.
+MOST_LINKS, FEW_LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.5, 0.2, 10, 30, 0.05, 0.2
 UNCLOSED = {"p", "li", "dd", "dt", "option", "td", "th", "tr", "thead", "tbody", "tfoot"}
 
 
@@ -205,23 +208,28 @@ def blocks(page: str) -> list[Block]:
 def classify(found: list[Block]) -> list[bool]:
     """Which blocks are main text.
 
-    Pass one: link density, length and stop-word density decide; inside boilerplate a block never is. Pass two: an undecided block takes
+    Pass one: link density, length and stop-word density decide; inside boilerplate a block never is. Lists of stop words are of four languages,
+    and code and tables have few, so their lack rejects nothing. Pass two: an undecided block takes
     the label of the nearest decided neighbours outside boilerplate (both sides if they agree; else main text inside an article, and outside one the
     nearer, main text on a tie); without any, it is main text. An article or main element decides nothing else.
     """
     labels: list[bool | None] = []
-    for b in found:
-        words = [x.lower() for x in LETTERS.findall(b.text)]
+    words = [[x.lower() for x in LETTERS.findall(b.text)] if b.where >= 0 else [] for b in found]
+    stops = [sum(w in STOP for w in x) for x in words]
+    known = sum(stops) >= STOP_LOW * sum(map(len, words))
+    for b, x, s in zip(found, words, stops, strict=True):
         density = b.links / max(1, len(b.text))
+        length = len(x) if b.text.isascii() else len(x) + len(UNSPACED.findall(b.text)) // LETTERS_A_WORD
         if b.where < 0:
             labels.append(False)
         elif density > MOST_LINKS:
             labels.append(False)
-        elif len(words) < SHORT:
+        elif length < SHORT:
             labels.append(None)
+        elif length < LONG:
+            labels.append(True if s >= STOP_HIGH * len(x) > 0 else None)
         else:
-            stop = sum(w in STOP for w in words) / len(words)
-            labels.append(True if stop >= STOP_HIGH or len(words) >= LONG and stop >= STOP_LOW else None)
+            labels.append(True if density <= FEW_LINKS or not known or s >= STOP_LOW * len(x) > 0 else None)
     n = len(found)
     before: list[tuple[int, bool] | None] = [None] * n
     last = None

@@ -260,6 +260,16 @@ def test_html_wrapper_names(wrapper):
     assert html.main_text(f"<main><p>{PROSE}</p></main><div class=post-comments><article class=comment-body><p>{TEASER}</p></article></div><nav><article>{TEASER}</article></nav>") == PROSE
 
 
+@pytest.mark.parametrize("text", ["Кот сидел у окна и смотрел на снег " * 8, "Kot siedział przy oknie, patrzył jak pada śnieg " * 8, "كانت القطة تجلس قرب النافذة " * 10, "猫は窓のそばに座って、雪を見ていた。" * 8, "猫坐在窗边看着外面的雪，" * 12, "x1 = f(y2); " * 40])
+def test_html_other_languages(text):
+    """Long text is main text in any language; a short block beside boilerplate elements is not lost with them."""
+    text = text.strip()
+    page = f"<header><p>{PROSE}</p></header><nav><a href=x>Home</a></nav><div><p>{text}</p><p>So?</p></div><ul><li><a href=y>More</a></li></ul><footer>c</footer>"
+    assert html.main_text(page) == f"{text} So?"
+    assert html.main_text(f"<p>{text[: len(text) // 2]}<a href=x>{text[len(text) // 2 : len(text) * 4 // 5]}</a>{text[len(text) * 4 // 5 :]}</p><p><a href=y>More</a></p>") == text
+    assert html.main_text(f"<p>{PROSE} {PROSE}</p><p><a href=y>More</a></p><pre>{text}</pre><p><a href=y>More</a></p>") == f"{PROSE} {PROSE} {text}"
+
+
 def test_empty_tables(spark, docs):
     none, labels = docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     from pyspark.sql import functions as F
