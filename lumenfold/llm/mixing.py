@@ -203,17 +203,20 @@ def _within(spark, rows: DataFrame, bounds: list[tuple]) -> DataFrame:
     return rows.join(known, near)
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 64, **options) -> DataFrame:
     """The mix itself: a row for each time a document is taken, with the columns of ``docs``.
 
+    Each shard lies in one partition, shard after shard, its rows in the order of ``place``.
+
     The last draw of a source may take only the first words of one document; its text then ends there.
-    Documents of size 0 stay, once: they weigh nothing in any share.
+    Documents of size 0 stay, once, in a shard by hash: they weigh nothing in any share.
     """
-    drawn = mix(docs, id_col, text_col, source_col, **options).select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), "draws", "source")
+    drawn = mix(docs, id_col, text_col, source_col, shards=shards, **options).select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), "draws", "source")
     drawn = drawn.withColumnRenamed("source", "__source").dropDuplicates(["__id", "__source", "__size"])
     sized = docs.withColumn("__n", word_count(F.col(text_col)))
     same = sized[id_col].eqNullSafe(drawn["__id"]) & sized[source_col].cast("string").eqNullSafe(drawn["__source"]) & (F.col("__n") == F.col("__size"))
-    none = F.array(F.struct(F.lit(0).alias("shard"), F.lit(0).alias("epoch"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("words")))
+    hashed = F.xxhash64(F.lit(shards), F.col(id_col), F.col(source_col))
+    none = F.array(F.struct(F.pmod(hashed, F.lit(shards)).alias("shard"), F.lit(0).alias("epoch"), F.shiftrightunsigned(hashed, 2).alias("place"), F.lit(0).cast("long").alias("words")))
     each = sized.join(drawn, same).withColumn("__draw", F.explode(F.when(F.col("__size") == 0, none.cast("array<struct<shard:int,epoch:int,place:long,words:long>>")).otherwise(F.col("draws"))))
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     first = F.array_join(F.slice(pieces, F.lit(1), F.col("__draw.words").cast("int")), "")
@@ -221,4 +224,4 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     out = each.withColumn(text_col, text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__draw.words") < F.col("__size"), F.char_length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.repartition(F.col("__draw.shard")).sortWithinPartitions("__draw.shard", "__draw.place").select(*docs.columns)

@@ -114,6 +114,19 @@ def test_mixing(docs, rows):
     assert abs(total - sum(sizes)) <= len(names)
 
 
+def test_mixed_rows_lie_by_shard_and_place(docs):
+    draws = sorted((d.shard, d.place, r.doc_id) for r in mixing.mix(docs, shards=8, block_words=500).collect() for d in r.draws)
+    want = {s: [i for t, _, i in draws if t == s] for s in range(8)}
+    parts = mixing.mixed(docs, shards=8, block_words=500).where(r"text RLIKE '[^\\x20\\x09-\\x0D]'").select("doc_id").rdd.glom().map(lambda rows: [r.doc_id for r in rows]).collect()
+    left = set(want)
+    for part in parts:
+        while part:
+            s = next(s for s in sorted(left) if want[s] and part[: len(want[s])] == want[s])
+            left.remove(s)
+            part = part[len(want[s]) :]
+    assert not any(want[s] for s in left)
+
+
 def test_splitting_tree_is_exact():
     import numpy as np
 
