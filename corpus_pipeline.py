@@ -31,9 +31,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document, so ids repeat; a source's last draw may end within a text."""
+    """A row for each time the mix takes a document, so ids repeat; a text is cut only where no whole one comes near its source's target."""
     prepare(spark)
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, whole=True)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ EPOCHS = 3
 FAN, LEAF = 1024, 4096
 #: The catalogue (one row a source: size, target, cut) is held by the driver and each task; more sources are refused.
 MOST_SOURCES = 200_000
+#: A total so near its target, as a share of it, is kept with whole documents.
+NEAR = 0.5
 
 
 def word_count(text: Column) -> Column:
@@ -203,21 +205,27 @@ def _within(spark, rows: DataFrame, bounds: list[tuple]) -> DataFrame:
     return rows.join(known, near)
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 64, **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 64, whole: bool = False, **options) -> DataFrame:
     """The mix itself: a row for each time a document is taken, with the columns of ``docs``.
 
     Each shard lies in one partition, shard after shard, its rows in the order of ``place``.
 
-    The last draw of a source may take only the first words of one document; its text then ends there.
+    The last draw of a source may take only the first words of one document; its text then ends there. With ``whole`` that document is taken or
+    left whole, by which is nearer to the source's target, and cut only where both miss the target by more than NEAR of it.
     Documents of size 0 stay, once, in a shard by hash: they weigh nothing in any share.
     """
-    drawn = mix(docs, id_col, text_col, source_col, shards=shards, **options).select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), "draws", "source")
+    drawn = mix(docs, id_col, text_col, source_col, shards=shards, **options).select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("target").alias("__target"), "draws", "source")
     drawn = drawn.withColumnRenamed("source", "__source").dropDuplicates(["__id", "__source", "__size"])
     sized = docs.withColumn("__n", word_count(F.col(text_col)))
     same = sized[id_col].eqNullSafe(drawn["__id"]) & sized[source_col].cast("string").eqNullSafe(drawn["__source"]) & (F.col("__n") == F.col("__size"))
     hashed = F.xxhash64(F.lit(shards), F.col(id_col), F.col(source_col))
     none = F.array(F.struct(F.pmod(hashed, F.lit(shards)).alias("shard"), F.lit(0).alias("epoch"), F.shiftrightunsigned(hashed, 2).alias("place"), F.lit(0).cast("long").alias("words")))
     each = sized.join(drawn, same).withColumn("__draw", F.explode(F.when(F.col("__size") == 0, none.cast("array<struct<shard:int,epoch:int,place:long,words:long>>")).otherwise(F.col("draws"))))
+    if whole:
+        words, over = F.col("__draw.words"), F.col("__size") - F.col("__draw.words")
+        near = F.least(words, over) <= F.col("__target") * NEAR
+        each = each.where((over == 0) | ~near | (words >= over))
+        each = each.withColumn("__draw", F.col("__draw").withField("words", F.when(near & (words >= over), F.col("__size")).otherwise(words)))
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     first = F.array_join(F.slice(pieces, F.lit(1), F.col("__draw.words").cast("int")), "")
     text = F.when(F.col("__draw.words") < F.col("__size"), first).otherwise(F.col(text_col))

@@ -127,6 +127,28 @@ def test_mixed_rows_lie_by_shard_and_place(docs):
     assert not any(want[s] for s in left)
 
 
+def test_pipeline_mixes_whole_documents(spark):
+    """Many small sources: texts stay whole and totals near their targets; a single long text that overshoots is cut."""
+    import corpus_pipeline
+
+    def run(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = collections.defaultdict(list)
+        for r in corpus_pipeline.mixing_stage(spark, docs, "").collect():
+            got[r.source].append(r)
+        return {r.source: r.target for r in mixing.mix(docs).collect()}, got
+
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40 + i)), f"s{i // 2:02}") for i in range(30)] + [(99, "", "s00")]
+    goal, got = run(rows)
+    assert [r.text for r in got["s00"]].count("") == 1
+    for i, t, s in rows[:30]:
+        assert all(r.text == rows[r.doc_id][1] for r in got[s] if r.text)
+        assert abs(sum(len(r.text.split()) for r in got[s]) - goal[s]) <= (40 + i // 2 * 2 + 1) / 2 + 1
+    # The small texts are all taken three times, and the whole long text is more than half over the rest.
+    goal, got = run([(0, " ".join(["long"] * 3000), "a")] + [(i, " ".join(["word"] * 200), "b") for i in range(1, 4)])
+    assert goal["a"] == 1800 and [len(r.text.split()) for r in got["a"]] == [1800] and [len(r.text.split()) for r in got["b"]] == [200] * 9
+
+
 def test_splitting_tree_is_exact():
     import numpy as np
 
