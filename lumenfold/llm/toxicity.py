@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from lumenfold.llm.sample import labelled
 from lumenfold.llm.textarrays import U, Words, pieces
 
-#: Hashed term space, labelled documents fitted at most, terms that enter the machine, its factors.
-SPACE_BITS, MOST_FITTED, TERMS, FACTORS = 22, 20_000, 384, 8
+#: Hashed term space, labelled documents fitted at most, the machine's factors, rows multiplied at once while fitting.
+SPACE_BITS, MOST_FITTED, FACTORS, ROWS = 22, 20_000, 8, 2048
+#: Every term in so many fitted documents, and of a z score beyond this, enters the machine.
+SEEN, TELLS = 3, 4.5
 
 #: Terms are runs of letters: ASCII letters, lower-cased, and bytes of other scripts.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -49,7 +51,7 @@ class Machine:
 
 
 def fit(docs: list[np.ndarray], labels: np.ndarray, rounds: int = 250, rate: float = 0.03, decay: float = 1e-3) -> Machine:
-    """Fit by logistic loss (Adam, full batches, fixed seed) on the terms that tell the classes apart best."""
+    """Fit by logistic loss (Adam, full batches, fixed seed) on all terms that tell the classes apart (SEEN, TELLS)."""
     n, pos = len(labels), int(labels.sum())
     if not n or pos in (0, n):
         prior = (pos + 1) / (n + 2)
@@ -61,9 +63,8 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, rounds: int = 250, rate: flo
     share = seen / n
     # The two-proportion z score, each count smoothed by one half.
     z = ((with_pos + 0.5) / (pos + 1) - (seen - with_pos + 0.5) / (n - pos + 1)) / np.sqrt(np.maximum(share * (1 - share), 1 / n) * (1 / pos + 1 / (n - pos)))
-    strong = np.argsort(-np.where(seen >= 3, np.abs(z), 0), kind="stable")[:TERMS]
-    strong = np.sort(strong[np.abs(z[strong]) > 4.5])
-    x = np.zeros((n, len(strong)), np.float32)
+    strong = np.flatnonzero((seen >= SEEN) & (np.abs(z) > TELLS))
+    x = np.zeros((n, len(strong)), bool)
     place = np.full(len(slots), -1)
     place[strong] = np.arange(len(strong))
     hit = place[inverse] >= 0
@@ -73,11 +74,16 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, rounds: int = 250, rate: flo
     moment, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     for step in range(1, rounds + 1):
         w0, w, v = theta
-        xv = x @ v
-        raw = w0 + x @ w + 0.5 * ((xv**2).sum(1) - (x @ (v**2)).sum(1))
-        g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels).astype(np.float32) / n
-        xg = x.T @ g
-        grads = [np.array([g.sum()]), xg + decay * w / len(w), x.T @ (g[:, None] * xv) - xg[:, None] * v + decay * v / len(w)] if len(strong) else [np.array([g.sum()]), w, v]
+        g0, gw, gv = np.zeros_like(w0), np.zeros_like(w), np.zeros_like(v)
+        for a in range(0, n, ROWS):
+            some = x[a : a + ROWS].astype(np.float32)
+            xv = some @ v
+            raw = w0 + some @ w + 0.5 * ((xv**2).sum(1) - (some @ (v**2)).sum(1))
+            g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[a : a + ROWS]).astype(np.float32) / n
+            g0 += g.sum()
+            gw += some.T @ g
+            gv += some.T @ (g[:, None] * xv)
+        grads = [g0, gw + decay * w / len(w), gv - gw[:, None] * v + decay * v / len(w)] if len(strong) else [g0, w, v]
         for t, gr, m, s in zip(theta, grads, moment, second, strict=True):
             m *= 0.9
             m += 0.1 * gr

@@ -257,6 +257,18 @@ def test_classifiers(spark, rows):
     assert ranking.score_quality(docs, labels.where(F.lit(False)), F.lit(True)).count() == len(data)
 
 
+def test_every_telling_term_enters_the_machine():
+    """600 terms tell toxic texts, each in a few of them: all are learnt, not only the first by z."""
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    docs = [np.unique(np.concatenate([rnd.integers(10_000, 11_000, 20), rnd.integers(0, 600, 20) if i % 2 else []])).astype(np.int64) for i in range(4000)]
+    model = toxicity.fit(docs, np.array([i % 2 for i in range(4000)], np.float32), rounds=50)
+    assert set(range(600)) <= set(model.slots.tolist())
+    for t in range(600):
+        assert model.raw(np.zeros(1, np.int64), np.array([t]), 1)[0] > model.w0
+
+
 PAGES = {
     "<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav><div class='ad'>Buy</div><article><h1>Head</h1><p>One &amp; two<br>three<p>Four &lt;b&gt;<script>var x='</p>';</script></article><footer>c</footer>": "Head One & two three Four <b>",
     "<body><div id=menu><ul><li><a>A</a></ul></div><div><p>The cat sat on the mat and it was the best of all the places that it had been to.</p><p>Short.</p></div><div class='comments'><p>I think that the text is not good and that it is of no use to me.</p></div>": "The cat sat on the mat and it was the best of all the places that it had been to. Short.",
