@@ -174,7 +174,8 @@ def near_duplicates(
 
     A band's members are first checked against their least member. Members of a band that are in
     different components afterwards are compared with all others of that band in blocks: by samples, then by texts, until
-    one link to each component is found or no candidate is left; so no band is capped and no class that a band offers is lost.
+    one link to each component is found or no candidate is left; so no band is capped. A pair there whose samples agree four standard
+    deviations less often than at the threshold (in fewer than 33 of 56) is not compared by texts, and so a class that a band offers may be missed.
     """
     member, least = _classes(docs, id_col, text_col, shingle, threshold, bands, rows)
     return member.join(least, "root").select(F.col("id").alias(id_col), "class_id", "class_size")
