@@ -1,12 +1,16 @@
-"""Mixing sources to target weights with a multivariate-hypergeometric splitting tree."""
+"""Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
+
+Each source's documents lie in blocks (equal parts of a hash line). A pass over a source draws its blocks in an order of its
+own; passes go on until the target is met. The quota of drawn blocks of every source is split among the shards by the tree, and
+each shard draws its part of that order, so shards hold disjoint draws. Inside a shard rows are shuffled by hash.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +19,12 @@ from lumenfold.llm.store import Tables
 WORD = r"[^\x20\x09-\x0D]+"
 #: No document is taken more than so many times.
 EPOCHS = 3
-#: Parts of the hash line that one pass of the cut search counts, and rows at which it orders single documents.
-FAN, LEAF = 1024, 4096
-#: The catalogue (one row a source: size, target, cut) is held by the driver and each task; more sources are refused.
-MOST_SOURCES = 200_000
+#: Bits of a place on the hash line. All words together form about MOST_BLOCKS blocks at most, so a place times a number of blocks fits 63 bits.
+LINE_BITS, MOST_BLOCKS = 44, 1 << 16
+#: Sources that one task splits among the shards.
+GROUP = 4096
+#: Rows up to which a table of sources or blocks is broadcast (some 20 MB); beyond, it is joined by shuffle, each source dealt over SALTS.
+FEW, SALTS = 200_000, 16
 #: A total so near its target, as a share of it, is kept with whole documents.
 NEAR = 0.5
 
@@ -27,209 +33,215 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def default_weights(sources: list[str | None]) -> list[float]:
+def default_weights(position: Column, source: Column) -> Column:
     """1, 2, 3, repeating, over the sources by code point, null last."""
-    return [float(i % 3 + 1) for i in range(len(sources))]
+    return (position % 3 + 1).cast("double")
 
 
-def targets(sizes: list[int], weights: list[float], most: float = EPOCHS) -> list[float]:
-    """Shares of all sizes by weight, each at most ``most`` times its source's size; the excess goes to the others by weight.
+def split(counts: np.ndarray, room: np.ndarray, seed: list[int]) -> np.ndarray:
+    """Deal ``counts`` blocks of each source into shards of ``room`` blocks: sources x shards, every sum exact.
 
-    Capping the source with the least size per weight first reaches the same fixed point as repeated resharing.
+    The tree halves the shards; what the left half gets of a node's blocks is one multivariate hypergeometric draw, seeded by the node.
     """
-    total = float(sum(sizes))
-    out = [0.0] * len(sizes)
-    order = sorted((i for i in range(len(sizes)) if weights[i] > 0), key=lambda i: (most * sizes[i] / weights[i], i))
-    left, weight = total, sum(weights[i] for i in order)
-    for k, i in enumerate(order):
-        if most * sizes[i] < left * weights[i] / weight:
-            out[i] = float(most * sizes[i])
-            left, weight = left - out[i], weight - weights[i]
-        else:
-            for j in order[k:]:
-                out[j] = left * weights[j] / weight
-            break
-    return out
-
-
-class SplittingTree:
-    """Deals blocks of all sources out to shards: each node splits its exact counts between its halves.
-
-    A node's draw is multivariate hypergeometric, seeded by the node, so every task finds the same tree
-    by walking down; no task or driver holds sources x shards.
-    """
-
-    def __init__(self, counts: np.ndarray, shards: int, seed: int):
-        self.counts, self.shards, self.seed = counts.astype(np.int64), shards, seed
-        self.left = lru_cache(maxsize=4096)(self._left)
-
-    def _left(self, low: int, high: int) -> np.ndarray:
-        """Of node [low, high), the blocks that its left half gets, by source."""
-        held = self.held(low, high)
-        everything = int(self.counts.sum())
+    out = np.zeros((len(counts), len(room)), np.int64)
+    stack = [(0, len(room), counts.astype(np.int64))]
+    while stack:
+        low, high, held = stack.pop()
+        if high - low == 1:
+            out[:, low] = held
+            continue
         mid = (low + high) // 2
-        take = everything * mid // self.shards - everything * low // self.shards
-        draw = np.random.default_rng([self.seed, low, high])
-        return draw.multivariate_hypergeometric(held, min(take, int(held.sum())), method="marginals")
-
-    def held(self, low: int, high: int) -> np.ndarray:
-        """Blocks of node [low, high), by source."""
-        a, b, held = 0, self.shards, self.counts
-        while (a, b) != (low, high):
-            mid = (a + b) // 2
-            one = self.left(a, b)
-            held, a, b = (one, a, mid) if high <= mid else (held - one, mid, b)
-        return held
-
-    def shard(self, source: int, block: int) -> int:
-        """The shard of a source's block: it descends by rank, so every quota is met exactly."""
-        a, b = 0, self.shards
-        while b - a > 1:
-            mid, one = (a + b) // 2, int(self.left(a, b)[source])
-            a, b, block = (a, mid, block) if block < one else (mid, b, block - one)
-        return a
+        draw = np.random.default_rng([*seed, low, high])
+        left = draw.multivariate_hypergeometric(held, int(room[low:mid].sum()), method="marginals")
+        stack += [(low, mid, left), (mid, high, held - left)]
+    return out
 
 
-def _spot(id_col: Column, seed: int) -> Column:
-    """A document's place on the hash line of its source: 48 bits, a random order."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col), 16)
+def _spot(row_key: Column, seed: int) -> Column:
+    """A row's place on the hash line: a random order."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), row_key), 64 - LINE_BITS)
+
+
+def _sources(rows: DataFrame, weights: Callable, tables: Tables) -> DataFrame:
+    """``source, source_size, target, epochs, part``: whole passes over each source, and the words still wanted after them."""
+    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # Positions by code point: sorted ranges, each counted, without one task holding all sources.
+    key = [F.col("source").isNull(), F.col("source")]
+    ranged = per.repartitionByRange(*key).sortWithinPartitions(*key)
+    placed = tables.keep(ranged.withColumn("at", F.monotonically_increasing_id()).select("*", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND((1 << 33) - 1).alias("inside")).drop("at"))
+    before, starts = 0, []
+    for r in sorted(placed.groupBy("range").count().collect()):
+        starts.append((r["range"], before))
+        before += r["count"]
+    # One row a partition.
+    first = rows.sparkSession.createDataFrame(starts, "range long, start long")
+    weight = weights(F.col("start") + F.col("inside"), F.col("source"))
+    known = tables.keep(placed.join(F.broadcast(first), "range").select("source", "source_size", weight.cast("double").alias("weight")))
+    # The common level: every round fixes sources whose cap lies below their share and shares the rest again.
+    total, level = known.agg(F.sum("source_size")).first()[0] or 0, 0.0
+    while True:
+        capped = EPOCHS * F.col("source_size") < F.lit(level) * F.col("weight")
+        r = known.where("weight > 0").agg(F.sum(F.when(capped, EPOCHS * F.col("source_size"))).alias("fixed"), F.sum(F.when(~capped, F.col("weight"))).alias("free")).first()
+        after = (total - (r.fixed or 0)) / r.free if r.free else level
+        if after <= level:
+            break
+        level = after
+    target = F.when(F.col("weight") > 0, F.least((EPOCHS * F.col("source_size")).cast("double"), F.lit(level) * F.col("weight"))).otherwise(0.0)
+    take = F.least(F.floor(F.col("target") + 0.5), EPOCHS * F.col("source_size"))
+    out = known.select("source", "source_size", target.alias("target")).withColumn("take", take)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("take") / F.col("source_size"))).otherwise(0)
+    return tables.keep(out.withColumn("epochs", whole).select("source", "source_size", "target", "epochs", (F.col("take") - F.col("epochs") * F.col("source_size")).alias("part")))
+
+
+def _join_sources(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
+    known = sources.withColumnRenamed("source", "__source")
+    same = F.col("source").eqNullSafe(F.col("__source"))
+    if few:
+        return rows.join(F.broadcast(known), same).drop("__source")
+    salted = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(salted, same & (F.pmod(F.col("spot"), F.lit(SALTS)) == F.col("__salt"))).drop("__source", "__salt")
+
+
+class Plan:
+    """What the mix draws: a table of sources and one of the blocks drawn."""
+
+    def __init__(self, rows: DataFrame, weights: Callable, seed: int, shards: int, block_words: int, tables: Tables):
+        """``rows``: source, size, spot."""
+        self.seed, self.shards = seed, shards
+        sources = _sources(rows, weights, tables)
+        total, self.n = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count(F.lit(1))).first()
+        self.words = max(1, block_words, -(-int(total) // MOST_BLOCKS))
+        self.sources, self.few = sources, self.n <= FEW
+        sized = self.placed(rows).where("size > 0").groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("epochs").alias("epochs"), F.first("part").alias("part"))
+        passes = F.when(F.col("part") > 0, F.col("epochs")).otherwise(F.col("epochs") - 1)
+        each = tables.keep(sized).where("epochs > 0 OR part > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), passes)))
+        # A pass draws the source's blocks in an order of its own; at most MOST_BLOCKS + 1 rows a window.
+        each = each.withColumn("turn", F.xxhash64(F.lit(seed + 1), "source", "epoch", "block"))
+        each = each.selectExpr("*", "sum(words) OVER (PARTITION BY source, epoch ORDER BY turn, block) - words AS before", "row_number() OVER (PARTITION BY source, epoch ORDER BY turn, block) AS number", "count(*) OVER (PARTITION BY source, epoch) AS n")
+        drawn = tables.keep(each.where("epoch < epochs OR before < part").selectExpr("source", "block", "epoch", "epoch * n + number - 1 AS rank", "CASE WHEN epoch < epochs OR before + words <= part THEN NULL ELSE part - before END AS cut"))
+        quotas = self._quotas(drawn, tables)
+        if self.few:
+            quotas = F.broadcast(quotas)
+        dealt = drawn.join(quotas, F.col("source").eqNullSafe(F.col("__source")))
+        shard = F.size(F.filter("upto", lambda x: x <= F.col("rank")))
+        draw = F.struct("epoch", shard.alias("shard"), "cut")
+        blocks = dealt.groupBy("source", "block").agg(F.sort_array(F.collect_list(draw)).alias("drawn"))  # at most EPOCHS
+        self.blocks = tables.keep(blocks.withColumnsRenamed({"source": "__source", "block": "__block"}))
+        # The rows of the table: at most one a block, MOST_BLOCKS and one a source.
+        self.few_blocks = MOST_BLOCKS + self.n <= FEW
+
+    def _quotas(self, drawn: DataFrame, tables: Tables) -> DataFrame:
+        """``__source, upto``: the source's blocks in shards 0..j, for each j.
+
+        Two trees of the same kind: groups of sources among the shards, then each group's sources in a task of its own. What a
+        group's sources get, given what the group gets, is again multivariate hypergeometric.
+        """
+        groups, shards, seed = -(-self.n // GROUP) or 1, self.shards, self.seed
+        counts = tables.keep(drawn.groupBy("source").count().withColumn("group", F.pmod(F.xxhash64("source"), F.lit(groups)).cast("long")))
+        held = np.zeros(groups, np.int64)
+        for r in counts.groupBy("group").agg(F.sum("count").alias("n")).collect():  # one row for GROUP sources
+            held[r.group] = r.n
+        everything = int(held.sum())
+        room = np.array([everything * (j + 1) // shards - everything * j // shards for j in range(shards)], np.int64)
+        rooms = split(held, room, [seed])
+        table = counts.sparkSession.createDataFrame([(i, x.tolist()) for i, x in enumerate(rooms)], "group long, room array<long>")
+
+        def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.assign(none=pdf.source.isna()).sort_values(["none", "source"])
+            got = split(pdf["count"].to_numpy(), np.array(pdf.room.iloc[0]), [seed, int(pdf.group.iloc[0]) + 1])
+            return pd.DataFrame({"__source": pdf.source, "upto": list(np.cumsum(got, 1))})
+
+        return counts.join(F.broadcast(table), "group").groupBy("group").applyInPandas(deal, "__source string, upto array<long>")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with their source's columns and their block: equal parts of the hash line, as many as the source's size asks for."""
+        parts = F.ceil(F.greatest("source_size", F.lit(1)) / self.words).cast("long")
+        return _join_sources(rows, self.sources, self.few).withColumn("block", F.shiftright(F.col("spot") * parts, LINE_BITS))
+
+    def draw(self, rows: DataFrame, tie: list[str]) -> DataFrame:
+        """``rows`` (source, size, spot and others) with source_size, target, epochs, rest and draws.
+
+        Of a block that a source's target cuts, rows count in the order of ``spot`` and ``tie`` until it is met.
+        """
+        known = F.broadcast(self.blocks) if self.few_blocks else self.blocks
+        both = self.placed(rows).drop("epochs", "part").join(known, F.col("source").eqNullSafe(F.col("__source")) & (F.col("block") == F.col("__block")), "left").drop("__source", "__block")
+        cut = F.coalesce(F.aggregate("drawn", F.lit(None).cast("long"), lambda a, d: F.coalesce(d["cut"], a)), F.lit(-1))
+        both = both.withColumn("cut", cut).withColumn("whole", F.coalesce(F.size(F.filter("drawn", lambda d: d["cut"].isNull())), F.lit(0)).cast("long"))
+        plain = both.where("cut < 0").withColumn("rest", F.lit(0).cast("long"))
+        order = ", ".join(f"`{c}`" for c in ["spot", *tie])
+        # One block a source: about ``block_words`` words, or a MOST_BLOCKS-th of all.
+        run = both.where("cut >= 0").selectExpr("*", f"sum(size) OVER (PARTITION BY source, block ORDER BY {order} ROWS UNBOUNDED PRECEDING) - size AS before")
+        run = run.withColumn("rest", F.greatest(F.lit(0).cast("long"), F.least("size", F.col("cut") - F.col("before")))).drop("before")
+        out = plain.unionByName(run)
+        place = lambda d: F.shiftrightunsigned(F.xxhash64(F.lit(self.seed + 2), "spot", d["epoch"]), 2)
+        words = lambda d: F.when(d["cut"].isNull(), F.col("size")).otherwise(F.col("rest"))
+        draws = F.filter(F.transform("drawn", lambda d: F.struct(d["shard"].alias("shard"), d["epoch"].alias("epoch"), place(d).alias("place"), words(d).alias("words"))), lambda d: d["words"] > 0)
+        none = F.array().cast("array<struct<shard:int,epoch:long,place:long,words:long>>")
+        whole = F.when(F.col("size") > 0, F.col("whole")).otherwise(0).alias("epochs")
+        return out.withColumn("draws", F.coalesce(draws, none)).withColumn("epochs", whole).withColumn("taken", F.col("epochs") * F.col("size") + F.col("rest")).drop("cut", "whole", "drawn", "block")
+
+
+def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> list[Column]:
+    # Rows that share an id, or have none, lie apart by their texts.
+    digest = F.xxhash64(F.col(id_col), F.col(text_col))
+    return [F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), _spot(digest, seed).alias("spot"), digest.alias("digest")]
 
 
 def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=default_weights, seed: int = 17, shards: int = 64, block_words: int = 50_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Callable = default_weights, seed: int = 17, shards: int = 64, block_words: int = 50_000
 ) -> DataFrame:
     """``id, source, size, source_size, target, taken, spot, epochs, rest, draws`` for every document.
 
-    Each source is ordered at random (by hash). The mix takes whole passes over it and then its first
-    words in that order until the target, rounded, is met exactly: ``taken`` = ``epochs`` x size + ``rest``, where a document is cut only at
-    the source's last word. ``draws`` holds a struct ``(shard, epoch, place, words)`` for each time a
-    document is taken: its source's words, pass after pass, form blocks of ``block_words``; the
-    splitting tree deals the blocks to shards, and ``place`` orders a shard at random.
+    Targets are shares of all sizes by weight (``weights(position, source)``, columns), each at most EPOCHS times its source's size, the excess reshared. A
+    source's blocks hold about ``block_words`` words (more, where all words would form over MOST_BLOCKS). Each pass draws them in
+    an order of its own, until the rounded target is met exactly: the last block is cut, and in it one document. ``taken`` = ``epochs``
+    (draws of the whole document) x size + ``rest``. ``draws`` holds a struct ``(shard, epoch, place, words)`` for each time a document is taken: its block's
+    shard in that pass, by the splitting tree, and a place that orders the shard at random.
 
-    Null text has size 0, is never taken and has no draws; a null source is a source, the last. Documents with equal hashes go by
-    id; rows repeated with id are taken alike but for the cut, which may pass between them. An empty table gives no rows; other columns are not read. A
+    Null text has size 0, is never taken and has no draws; a null source is a source, the last. Rows that share an id, or have
+    none, are rows of their own; rows that also share the text are interchangeable. An empty table gives no rows; other columns are not read. A
     total of 0 gives targets of 0. Reruns give the same rows.
     """
-    spark = docs.sparkSession
-    tables = Tables(spark, "mix")
-    rows = tables.keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), _spot(F.col(id_col), seed).alias("spot")))
-    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    found.sort(key=lambda r: (r.source is None, r.source or ""))
-    names = [r.source for r in found]
-    size = [int(r["size"]) for r in found]
-    goal = targets(size, weights(names))
-    whole, part = [], []
-    for s, t in zip(size, goal, strict=True):
-        take = min(round(t), EPOCHS * s)
-        whole.append(take // s if s else 0)
-        part.append(take % s if s else 0)
-    cuts = _cuts(spark, rows, names, [int(r.n) for r in found], part)
-    catalogue = [(i, *x) for i, x in enumerate(zip(names, size, goal, whole, cuts, strict=True))]
-    flat = [(i, name, s, float(t), w, *c) for i, name, s, t, w, c in catalogue]
-    known = spark.createDataFrame(flat, "number int, source string, source_size long, target double, epochs int, cut_spot long, cut_id string, cut_words long")
-    if len(flat) <= 10_000:
-        known = F.broadcast(known)
-    known = known.withColumnRenamed("source", "__source")
-    seen = rows.join(known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    at = (F.col("spot") == F.col("cut_spot")) & F.col("id").cast("string").eqNullSafe(F.col("cut_id"))
-    # Ids compare as strings only among equal 48-bit hashes of one source.
-    before = (F.col("spot") < F.col("cut_spot")) | ((F.col("spot") == F.col("cut_spot")) & (F.coalesce(F.col("id").cast("string"), F.lit("")) < F.coalesce("cut_id", F.lit(""))))
-    rest = F.when(before, F.col("size")).when(at, F.least("cut_words", "size")).otherwise(F.lit(0)).cast("long")
-    taken = seen.select("*", rest.alias("rest")).withColumn("taken", F.col("epochs") * F.col("size") + F.col("rest"))
-
-    # Blocks: equal parts of the hash line, so a document's block needs no running sum.
-    per_pass = [max(1, -(-s // block_words)) for s in size]
-    passes = [w + (1 if p else 0) for w, p in zip(whole, part, strict=True)]
-    share = [(c[0] * b // (1 << 48) + 1 if c[0] is not None and p else 0) for c, b, p in zip(cuts, per_pass, part, strict=True)]
-    blocks = np.array([w * b + max(x, 1 if p else 0) for w, b, x, p in zip(whole, per_pass, share, part, strict=True)], np.int64)
-    plan = spark.sparkContext.broadcast((blocks, np.array(per_pass, np.int64), shards, seed))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks_, per, n, start = plan.value
-        tree = SplittingTree(blocks_, n, start)
-        for batch in batches:
-            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            out = []
-            for number, spot, size_, epochs, rest_ in zip(*(col[c].to_pylist() for c in ("number", "spot", "size", "epochs", "rest")), strict=True):
-                draws = []
-                for e in range(epochs + (rest_ > 0)):
-                    if size_:
-                        block = e * int(per[number]) + spot * int(per[number]) // (1 << 48)
-                        block = min(block, int(blocks_[number]) - 1)
-                        # A second hash of the place, so that a shard does not keep its blocks' order.
-                        place = (spot * 0x9E3779B97F4A7C15 + e * 0xD6E8FEB86659FD93) % (1 << 62)
-                        draws.append({"shard": tree.shard(number, block), "epoch": e, "place": place, "words": size_ if e < epochs else rest_})
-                out.append(draws)
-            kind = pa.list_(pa.struct([("shard", pa.int32()), ("epoch", pa.int32()), ("place", pa.int64()), ("words", pa.int64())]))
-            yield pa.record_batch([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, "draws"])
-
-    taken = taken.select("id", "source", "size", "source_size", "target", "taken", "spot", "number", "epochs", "rest")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema) + ", draws array<struct<shard:int,epoch:int,place:long,words:long>>"
-    return taken.mapInArrow(deal, schema).drop("number").withColumnRenamed("id", id_col)
-
-
-def _cuts(spark, rows: DataFrame, names: list[str | None], counts: list[int], part: list[int]) -> list[tuple[int | None, str | None, int]]:
-    """For each source, the document at which its first ``part`` words end on the hash line: spot, id, words of it.
-
-    Radix search: every pass sums sizes over FAN parts of the interval that holds the cut and descends into one; each source's last interval, of a
-    few thousand documents, is ordered row by row.
-    """
-    low, width, before = [0] * len(names), [1 << 48] * len(names), [0] * len(names)
-    live, left = [i for i, p in enumerate(part) if p], list(counts)
-    while wide := [i for i in live if left[i] > LEAF and width[i] > 1]:
-        step = {i: max(1, -(-width[i] // FAN)) for i in wide}
-        inside = _within(spark, rows, [(names[i], i, low[i], width[i], step[i], part[i] - before[i]) for i in wide])
-        sums = inside.groupBy("i", "goal", F.floor((F.col("spot") - F.col("low")) / F.col("step")).alias("k")).agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
-        # At most FAN rows a source.
-        run = sums.selectExpr("*", "sum(s) OVER (PARTITION BY i ORDER BY k) AS upto")
-        for r in run.where("upto >= goal AND upto - s < goal").collect():
-            i = r.i
-            low[i], before[i], left[i] = low[i] + int(r.k) * step[i], before[i] + int(r.upto - r.s), int(r.n)
-            width[i] = min(step[i], width[i] - int(r.k) * step[i])
-    out: list[tuple[int | None, str | None, int]] = [(None, None, 0)] * len(names)
-    if live:
-        inside = _within(spark, rows, [(names[i], i, low[i], width[i], 1, part[i] - before[i]) for i in live])
-        run = inside.selectExpr("*", "coalesce(CAST(id AS string), '') AS key").selectExpr("*", "sum(size) OVER (PARTITION BY i ORDER BY spot, key ROWS UNBOUNDED PRECEDING) AS upto")
-        for r in run.where("size > 0 AND upto >= goal AND upto - size < goal").collect():
-            out[r.i] = (int(r.spot), None if r.id is None else str(r.id), int(r.goal - (r.upto - r["size"])))
-    return out
-
+    tables = Tables(docs.sparkSession, "mix")
+    rows = tables.keep(docs.select(F.col(id_col).alias("id"), *_measured(docs, id_col, text_col, source_col, seed)))
+    out = Plan(rows, weights, seed, shards, block_words, tables).draw(rows, ["digest", "id"])
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken", "spot", "epochs", "rest", "draws")
 
-def _within(spark, rows: DataFrame, bounds: list[tuple]) -> DataFrame:
-    known = spark.createDataFrame(bounds, "__source string, i int, low long, width long, step long, goal long")
-    if len(bounds) <= 10_000:
-        known = F.broadcast(known)
-    near = F.col("source").eqNullSafe(F.col("__source")) & (F.col("spot") >= F.col("low")) & (F.col("spot") < F.col("low") + F.col("width"))
-    return rows.join(known, near)
 
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 64, whole: bool = False, **options) -> DataFrame:
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Callable = default_weights, seed: int = 17, shards: int = 64, block_words: int = 50_000, whole: bool = False
+) -> DataFrame:
     """The mix itself: a row for each time a document is taken, with the columns of ``docs``.
 
     Each shard lies in one partition, shard after shard, its rows in the order of ``place``.
 
     The last draw of a source may take only the first words of one document; its text then ends there. With ``whole`` that document is taken or
     left whole, by which is nearer to the source's target, and cut only where both miss the target by more than NEAR of it.
-    Documents of size 0 stay, once, in a shard by hash: they weigh nothing in any share.
+    Documents of size 0 stay, once, in a shard by hash: they weigh nothing in any share. Texts move once, to their shards.
     """
-    drawn = mix(docs, id_col, text_col, source_col, shards=shards, **options).select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("target").alias("__target"), "draws", "source")
-    drawn = drawn.withColumnRenamed("source", "__source").dropDuplicates(["__id", "__source", "__size"])
-    sized = docs.withColumn("__n", word_count(F.col(text_col)))
-    same = sized[id_col].eqNullSafe(drawn["__id"]) & sized[source_col].cast("string").eqNullSafe(drawn["__source"]) & (F.col("__n") == F.col("__size"))
-    hashed = F.xxhash64(F.lit(shards), F.col(id_col), F.col(source_col))
-    none = F.array(F.struct(F.pmod(hashed, F.lit(shards)).alias("shard"), F.lit(0).alias("epoch"), F.shiftrightunsigned(hashed, 2).alias("place"), F.lit(0).cast("long").alias("words")))
-    each = sized.join(drawn, same).withColumn("__draw", F.explode(F.when(F.col("__size") == 0, none.cast("array<struct<shard:int,epoch:int,place:long,words:long>>")).otherwise(F.col("draws"))))
+    tables = Tables(docs.sparkSession, "mix")
+    measured = _measured(docs, id_col, text_col, source_col, seed)
+    rows = tables.keep(docs.select(*measured).drop("digest"))
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *measured)
+    drawn = Plan(rows, weights, seed, shards, block_words, tables).draw(carried, ["digest"])
+    hashed = F.xxhash64(F.lit(shards), "digest", "source")
+    zero = F.lit(0).cast("long")
+    none = F.array(F.struct(F.pmod(hashed, F.lit(shards)).cast("int").alias("shard"), zero.alias("epoch"), F.shiftrightunsigned(hashed, 2).alias("place"), zero.alias("words")))
+    each = drawn.withColumn("draw", F.explode(F.when(F.col("size") == 0, none).otherwise(F.col("draws"))))
+    words, over = F.col("draw.words"), F.col("size") - F.col("draw.words")
     if whole:
-        words, over = F.col("__draw.words"), F.col("__size") - F.col("__draw.words")
-        near = F.least(words, over) <= F.col("__target") * NEAR
+        near = F.least(words, over) <= F.col("target") * NEAR
         each = each.where((over == 0) | ~near | (words >= over))
-        each = each.withColumn("__draw", F.col("__draw").withField("words", F.when(near & (words >= over), F.col("__size")).otherwise(words)))
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    first = F.array_join(F.slice(pieces, F.lit(1), F.col("__draw.words").cast("int")), "")
-    text = F.when(F.col("__draw.words") < F.col("__size"), first).otherwise(F.col(text_col))
-    out = each.withColumn(text_col, text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__draw.words") < F.col("__size"), F.char_length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return out.repartition(F.col("__draw.shard")).sortWithinPartitions("__draw.shard", "__draw.place").select(*docs.columns)
+        each = each.withColumn("draw", F.col("draw").withField("words", F.when(near & (words >= over), F.col("size")).otherwise(words)))
+    text = F.col("row").getField(text_col)
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    first = F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")
+    each = each.withColumn("new", F.when(over > 0, first).otherwise(text)).repartition(F.col("draw.shard")).sortWithinPartitions("draw.shard", "draw.place", "digest")
+
+    def column(name: str) -> Column:
+        if name == text_col:
+            return F.col("new").alias(name)
+        old = F.col("row").getField(name)
+        return (F.when(over > 0, F.char_length("new").cast(docs.schema[name].dataType)).otherwise(old) if name == "n_chars" else old).alias(name)
+
+    return each.select(*map(column, docs.columns))

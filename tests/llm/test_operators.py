@@ -150,14 +150,64 @@ def test_pipeline_mixes_whole_documents(spark):
 
 
 def test_splitting_tree_is_exact():
+    """Every source's blocks and every shard's room come out exact, and the mean share is the hypergeometric one."""
     import numpy as np
 
-    counts = np.array([5, 0, 17, 40])
-    tree = mixing.SplittingTree(counts, 7, 3)
-    seen = [collections.Counter(tree.shard(s, b) for b in range(c)) for s, c in enumerate(counts)]
-    for j in range(7):
-        assert [c[j] for c in seen] == tree.held(j, j + 1).tolist()
-        assert sum(c[j] for c in seen) in (62 // 7, 62 // 7 + 1)
+    counts, room = np.array([5, 0, 17, 40]), np.array([8, 9, 9, 9, 9, 9, 9])
+    mean = np.zeros((4, 7))
+    for seed in range(300):
+        got = mixing.split(counts, room, [seed])
+        assert got.sum(1).tolist() == counts.tolist() and got.sum(0).tolist() == room.tolist() and (got >= 0).all()
+        mean += got / 300
+    assert np.abs(mean - np.outer(counts, room) / 62).max() < 0.5
+
+
+def test_mixing_draws_by_the_tree(docs):
+    """Blocks decide what is taken: a document's draws are its block's, every shard gets its quota of blocks, and another seed draws others."""
+    got = mixing.mix(docs, shards=4, block_words=300).collect()
+    again = mixing.mix(docs, shards=4, block_words=300, seed=18).collect()
+    total = lambda rows: {s: sum(r.taken for r in rows if r.source == s) for s in {r.source for r in rows}}
+    assert total(got) == total(again)
+    assert {(r.doc_id, r.taken) for r in got} != {(r.doc_id, r.taken) for r in again}
+    size = {r.source: r.source_size for r in got}
+    blocks = {}
+    for r in got:
+        parts = -(-size[r.source] // 300)
+        for d in r.draws:
+            blocks.setdefault((r.source, r.spot * parts >> mixing.LINE_BITS, d.epoch), set()).add(d.shard)
+    assert all(len(x) == 1 for x in blocks.values())
+    per = collections.Counter(next(iter(x)) for x in blocks.values())
+    assert max(per.values()) - min(per.values()) <= 1
+
+
+def test_mixing_repeated_and_null_ids(spark):
+    """Rows that share an id or have none are rows of their own: every source meets its target."""
+    rows = [(None if i % 2 else 7, " ".join(f"a{i}x{j}" for j in range(31)), "a") for i in range(80)]
+    rows += [(100 + i, " ".join(f"b{j}" for j in range(29 + i)), "b") for i in range(60)] + [(5, "same words here", None)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(docs, block_words=200).collect()
+    assert len(got) == len(rows)
+    for s in ("a", "b", None):
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.5 and all(r.taken <= 3 * r["size"] for r in mine)
+    out = mixing.mixed(docs, block_words=200).collect()
+    words = collections.Counter(r.source for r in out for _ in r.text.split())
+    assert all(words[s] == sum(r.taken for r in got if r.source == s) for s in words)
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    """Beyond the bound for broadcasts, sources and blocks join by shuffle and groups of sources split in tasks of their own: the same targets."""
+    rows = [(i, "w " * (i % 9), f"s{i % 37:02}" if i % 41 else None) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted((r.doc_id, r.target) for r in mixing.mix(docs, block_words=20).collect())
+    monkeypatch.setattr(mixing, "FEW", 3)
+    monkeypatch.setattr(mixing, "GROUP", 5)
+    got = mixing.mix(docs, block_words=20, shards=6).collect()
+    assert sorted((r.doc_id, r.target) for r in got) == want
+    for s in {r.source for r in got}:
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.5
+        assert all(r.taken == sum(d.words for d in r.draws) for r in mine)
 
 
 def test_quality(spark, docs, rows):
