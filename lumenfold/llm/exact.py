@@ -23,16 +23,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the full content next to its digest: within a task (map-side aggregation), by salted digest (a
     group of a third of all rows reaches each salt as one row a task), then over the salts' winners.
     Returns ``id, keep_id, group_size, kept, text_sha256``, one row per input row. Rows that repeat
-    both id and text share one verdict. An empty table gives no rows; other columns are not read.
+    both id and text share one verdict. Ids may be of any type that sorts. An empty table gives no rows; other columns are not read.
     """
     norm = normalized(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("size"))
     keyed = rows.select("doc_id", "size", "norm", F.sha2("norm", 256).alias("digest"), F.xxhash64("norm").alias("second"))
     local = keyed.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy("digest", "second", "norm", "salt")
-    best = F.max(F.struct(F.col("size"), F.bitwise_not(F.col("doc_id")).alias("rank")))
+    best = F.min(F.struct((-F.col("size")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id"))
     salted = local.agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
-    winners = salted.groupBy("digest", "second", "norm").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
-    kept = winners.select("digest", "second", F.bitwise_not(F.col("best.rank")).alias("keep_id"), "group_size")
+    winners = salted.groupBy("digest", "second", "norm").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
+    kept = winners.select("digest", "second", F.col("best.doc_id").alias("keep_id"), "group_size")
     out = keyed.select("doc_id", "digest", "second").join(kept, ["digest", "second"])
     return out.select(
         F.col("doc_id").alias(id_col), "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
