@@ -70,4 +70,4 @@ QUERIES = {
         op7_chat_formatting, op8_bpe, op9_quality_ranking, op10_html_text,
     )
 }
-ORACLES = {"op3_exact_dedup": exact.ORACLE, "op5_substring_dedup": substring.ORACLE, "op7_chat_formatting": chat.ORACLE}
+ORACLES = {"op3_exact_dedup": exact.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op5_substring_dedup": substring.ORACLE, "op7_chat_formatting": chat.ORACLE}
