@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.rows import positions
 from lumenfold.llm.store import Tables
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,18 +66,8 @@ def _spot(row_key: Column, seed: int) -> Column:
 def _sources(rows: DataFrame, weights: Callable, tables: Tables) -> DataFrame:
     """``source, source_size, target, epochs, part``: whole passes over each source, and the words still wanted after them."""
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # Positions by code point: sorted ranges, each counted, without one task holding all sources.
-    key = [F.col("source").isNull(), F.col("source")]
-    ranged = per.repartitionByRange(*key).sortWithinPartitions(*key)
-    placed = tables.keep(ranged.withColumn("at", F.monotonically_increasing_id()).select("*", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND((1 << 33) - 1).alias("inside")).drop("at"))
-    before, starts = 0, []
-    for r in sorted(placed.groupBy("range").count().collect()):
-        starts.append((r["range"], before))
-        before += r["count"]
-    # One row a partition.
-    first = rows.sparkSession.createDataFrame(starts, "range long, start long")
-    weight = weights(F.col("start") + F.col("inside"), F.col("source"))
-    known = tables.keep(placed.join(F.broadcast(first), "range").select("source", "source_size", weight.cast("double").alias("weight")))
+    weight = weights(F.col("position"), F.col("source"))
+    known = tables.keep(positions(per, [F.col("source").isNull(), F.col("source")], tables).select("source", "source_size", weight.cast("double").alias("weight")))
     # The common level: every round fixes sources whose cap lies below their share and shares the rest again.
     total, level = known.agg(F.sum("source_size")).first()[0] or 0, 0.0
     while True:

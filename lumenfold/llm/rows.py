@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.store import Tables
+
 
 def row_key(digest: Column, id_value: Column) -> Column:
     """A text key of digest and id; a null id has a key of its own."""
@@ -16,7 +18,19 @@ def pick(docs: DataFrame, key: Column, stay: DataFrame, rank: Column) -> DataFra
 
     Of rows with equal keys the one of highest rank is picked, then by a hash of the columns (maps aside). Join and choice share one shuffle.
     """
-    hashed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
-    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), key.alias("__key"), F.struct(rank.alias("rank"), F.xxhash64(*hashed).alias("tie")).alias("__rank"))
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), key.alias("__key"), F.struct(rank.alias("rank"), F.xxhash64(*hashed).alias("tie")).alias("__rank"))
     found = row.join(stay, F.col("__key") == F.col("__stay")).groupBy("__key").agg(F.max_by("__row", "__rank").alias("__row"))
     return found.select("__row.*")
+
+
+def positions(df: DataFrame, by: list[Column], tables: Tables) -> DataFrame:
+    """``df`` with ``position``: each row's place in the order of ``by``, from 0, without one task holding all rows."""
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    placed = tables.keep(ranged.withColumn("__range", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND((1 << 33) - 1)))
+    before, starts = 0, []
+    for r in sorted(placed.groupBy("__range").count().collect()):  # one row a partition
+        starts.append((r["__range"], before))
+        before += r["count"]
+    first = df.sparkSession.createDataFrame(starts, "__range long, __start long")
+    return placed.join(F.broadcast(first), "__range").withColumn("position", F.col("__start") + F.col("__at")).drop("__range", "__start", "__at")
