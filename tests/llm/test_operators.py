@@ -225,12 +225,59 @@ def test_quality(spark, docs, rows):
 
 
 def test_binomial_bound(spark):
+    """Exact within the terms summed; with fewer terms the bound errs upwards, and by little."""
     import math
 
-    for k, n, p in ((0, 10, 0.02), (3, 400, 0.02), (20, 2000, 0.02), (150, 9000, 0.02)):
+    for k, n, p in ((0, 10, 0.02), (3, 400, 0.02), (20, 2000, 0.02), (150, 9000, 0.02), (1500, 90_000, 0.02)):
         want = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log(1 - p)) for j in range(k + 1))
-        got = spark.sql(f"SELECT {quality_rules.binomial_at_most('k', 'n', p)} AS x FROM (SELECT CAST({k} AS BIGINT) AS k, CAST({n} AS BIGINT) AS n)").first().x
-        assert abs(got - want) < 1e-9
+        for terms in (quality_rules.TERMS, 12):
+            got = spark.sql(f"SELECT {quality_rules.binomial_at_most('k', 'n', p, terms)} AS x FROM (SELECT CAST({k} AS BIGINT) AS k, CAST({n} AS BIGINT) AS n)").first().x
+            assert abs(got - want) < 1e-9 if terms > k else want * (1 - 1e-6) <= got <= 10 * want
+
+
+def test_cutoffs_by_brute_force(spark):
+    """The chosen and certified rules of every stratum, against plain loops; no stratum's rules together reject more than the bound allows."""
+    import math
+
+    rnd = random.Random(12)
+    rows = []
+    for i in range(5000):
+        w = [f"{rnd.choice('abcde')}{rnd.randint(0, 400)}" for _ in range(60)]
+        good = rnd.random() < 0.8
+        lang = rnd.choice(["en", "de", None])
+        if not good and rnd.random() < 0.6:
+            w = [x + "##" for x in w] if rnd.random() < 0.5 else [x.upper() + "ZZ" for x in w]
+        elif good and rnd.random() < (0.06 if lang == "de" else 0.001):
+            w = [x + "#" for x in w]
+        rows.append((i, " ".join(w), lang, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    measured = quality_rules.measure(docs).cache()
+    values = {r.doc_id: r for r in measured.selectExpr("doc_id", "base_failed", *[f"{e} AS {n}" for n, (e, _) in quality_rules.RULES.items()]).collect()}
+    want = []
+    strata = {r[2] or "" for r in rows}
+    for stratum in strata:
+        mine = [r for r in rows if (r[2] or "") == stratum and not values[r[0]].base_failed]
+        pick = [hashlib.md5(str(r[0]).encode()).hexdigest()[0] < "8" for r in mine]
+        found = []
+        for number, (name, (_, cuts)) in enumerate(quality_rules.RULES.items()):
+            tries = []
+            for step, c in enumerate(cuts):
+                n, k, caught = (sum(p and r[3] == g and (not hits or values[r[0]][name] > c) for r, p in zip(mine, pick, strict=True)) for g, hits in ((1, 0), (1, 1), (0, 1)))
+                if caught and k <= n * quality_rules.RISK / (2 * len(quality_rules.RULES)):
+                    tries.append((-caught, step, c))
+            if tries:
+                found.append((min(tries)[0], number, name, min(tries)[2]))
+        rules = []
+        for caught, _, name, c in sorted(found):
+            rules.append((name, c))
+            clean = [r for r, p in zip(mine, pick, strict=True) if not p and r[3] == 1]
+            k, n = sum(any(values[r[0]][x] > y for x, y in rules) for r in clean), len(clean)
+            tail = sum(math.comb(n, j) * quality_rules.RISK**j * (1 - quality_rules.RISK) ** (n - j) for j in range(k + 1))
+            if k >= n * quality_rules.RISK or tail > quality_rules.DELTA / len(strata):
+                break
+            want.append((stratum, name, c, len(rules), n, k, -caught))
+    got = sorted(tuple(r) for r in quality_rules.thresholds(measured, docs).collect())
+    assert got == sorted(want) and {r[0] for r in got} >= {"", "en"}
 
 
 def test_thresholds_reject_bad_and_spare_clean(spark):
@@ -374,3 +421,12 @@ def test_empty_tables(spark, docs):
     assert not exact.exact_dedup(none).count() and not near.near_duplicates(none).count() and not substring.repeated_words(none).count() and not mixing.mix(none).count()
     assert not quality_rules.apply_rules(none, labels).count() and not toxicity.score_toxicity(none, labels, F.lit(True)).count() and not ranking.score_quality(none, labels, F.lit(True)).count()
     assert not chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() and not html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count()
+
+
+def test_dotted_columns(spark):
+    """Columns whose names hold dots or clash with the operators' own pass through whole-row stages."""
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, text + f" {i % 3}", "en", "s", 1, 2) for i in range(6)], "doc_id long, text string, lang string, source string, `a.b` int, row int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for out in (exact.drop_exact_copies(docs), near.drop_near_copies(docs), mixing.mixed(docs), quality_rules.keep_good(docs, labels)):
+        assert out.columns == docs.columns and all(r["a.b"] == 1 and r["row"] == 2 for r in out.collect())

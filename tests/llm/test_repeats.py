@@ -37,3 +37,29 @@ def test_near_compares_the_right_text_of_a_shared_id(spark):
     change = lambda t: " ".join(w if i != 40 else "other" for i, w in enumerate(t.split()))
     docs = spark.createDataFrame([(None, x) for t in LONG for x in (t, change(t))], "doc_id long, text string")
     assert near.drop_near_copies(docs).count() == len(LONG)
+
+
+def test_substring_with_shared_and_missing_ids(spark, monkeypatch):
+    """Rows that share an id lose nothing to each other but to smaller ids, each by its own text; rows without one stay whole. One block and many agree."""
+    from lumenfold.llm import substring
+
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(1, f"a b {passage} c"), (3, f"x {passage}"), (3, f"{passage} y z {LONG[0]}"), (3, f"{LONG[0]} end"), (5, f"{LONG[0]} {passage}"), (None, passage), (None, f"{passage} q"), (None, f"{passage} q"), (2, None), (2, f"{passage} {passage}")]
+    want = sorted([(1, 33, 0), (3, 31, 30), (3, 112, 30), (3, 81, 0), (5, 110, 110), (None, 30, 0), (None, 31, 0), (None, 31, 0), (2, 0, 0), (2, 60, 60)], key=str)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for size in (substring.BLOCK_BYTES, 200):
+        monkeypatch.setattr(substring, "BLOCK_BYTES", size)
+        monkeypatch.setattr(substring, "BUCKET_BYTES", 2 * size)
+        got = [(r.doc_id, r.n_words, r.n_removed) for r in substring.repeated_words(docs).collect()]
+        assert sorted(got, key=str) == want
+
+
+def test_ids_that_are_strings(spark):
+    """Exact and substring dedup take any ids that sort: strings go by code point."""
+    from lumenfold.llm import substring
+
+    rows = [("b10", LONG[0]), ("b9", LONG[0]), ("é", f"{LONG[1]} x"), ("a", f"y {LONG[1]}"), (None, LONG[1]), ("z", "")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(2)
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.repeated_words(docs).collect()}
+    assert got == {"b10": (80, 0), "b9": (80, 80), "é": (81, 80), "a": (81, 0), None: (80, 0), "z": (0, 0)}
+    assert {r.doc_id: r.keep_id for r in exact.exact_dedup(docs).collect()} == {"b10": "b10", "b9": "b10", "é": "é", "a": "a", None: None, "z": "z"}
