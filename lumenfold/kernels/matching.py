@@ -24,6 +24,13 @@ def transversal(n: int, ptr: np.ndarray, row: np.ndarray, val: np.ndarray) -> tu
 
     A breadth-first search for a free row from each column left over by the greedy pass.
     """
+    col = np.repeat(np.arange(n), np.diff(ptr))
+    size = np.abs(val)
+    order = np.lexsort((row, -size, col))
+    order = order[size[order] > 0]
+    top = order[np.concatenate([[True], np.diff(col[order]) != 0])] if len(order) else order
+    if len(top) == n and len(np.unique(row[top])) == n:
+        return row[top].astype(np.int64), True  # every column's largest entry in a row of its own
     choices = []
     for j in range(n):
         r, v = row[ptr[j] : ptr[j + 1]], np.abs(val[ptr[j] : ptr[j + 1]])

@@ -1,9 +1,14 @@
-"""Analysis, factorization and solution of one sparse system in NumPy: a multifrontal LU with static and in-block pivoting."""
+"""Analysis, factorization and solution of one sparse system in NumPy: a multifrontal LU with static and in-block pivoting.
+
+Supernodes of equal width and (about) equal height on one level of the elimination tree are eliminated together, as stacks of dense fronts.
+"""
 
 from __future__ import annotations
 
+import heapq
+import json
 import math
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass
 
 import numpy as np
 
@@ -16,10 +21,12 @@ def assemble(n: int, row: np.ndarray, col: np.ndarray, val: np.ndarray) -> tuple
     """Duplicates summed, entries in column order; stored zeros stay."""
     if len(row) and (row.min() < 0 or col.min() < 0 or row.max() >= n or col.max() >= n):
         raise ValueError("an entry lies outside the matrix")
-    code, where = np.unique(col * n + row, return_inverse=True)
-    out = np.zeros(len(code), val.dtype)
-    np.add.at(out, where, val)
-    return code % max(n, 1), code // max(n, 1), out
+    code = col * n + row
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else order
+    out = np.add.reduceat(val[order], new) if len(new) else val
+    return code[new] % max(n, 1), code[new] // max(n, 1), out
 
 
 def ruiz(n: int, row: np.ndarray, col: np.ndarray, mag: np.ndarray, dr: np.ndarray, dc: np.ndarray, sweeps: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -84,108 +91,344 @@ def analyze(n: int, row: np.ndarray, col: np.ndarray, val: np.ndarray, o: SolveO
     adj = sy.neighbours(n, moved, col)
     order, name = order_pattern(n, moved, col, adj, o.ordering)
     adj = sy.relabel(adj, order)
-    post = sy.postorder(sy.elimination_tree(adj))
+    parent = sy.elimination_tree(adj)
+    post = sy.postorder(parent)
     order = post[order]
-    structure = sy.analyze(sy.relabel(adj, post), o.relaxed_width, o.max_zero_rows, o.fill_fraction, o.max_block)
+    structure = sy.analyze(sy.relabel(adj, post), o.relaxed_width, o.max_zero_rows, o.fill_fraction, o.max_block, sy.moved_tree(parent, post))
     return Analysis(n, o, match, perfect, order[place], order, sr, sc, structure, name)
 
 
-def dense_lu(a: np.ndarray, pivoting: str, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, bool]:
-    """LU of a block in place: rows and columns as exchanged, pivots replaced, whether a pivot was exactly zero."""
-    w = len(a)
-    p, q, bumped, zero = np.arange(w), np.arange(w), 0, False
-    for k in range(w):
-        if pivoting != "none":
-            part = np.abs(a[k:, k:] if pivoting == "complete" else a[k:, k : k + 1])
-            i, j = np.unravel_index(np.argmax(part), part.shape)
-            if i:
-                a[[k, k + i]], p[[k, k + i]] = a[[k + i, k]], p[[k + i, k]]
-            if j:
-                a[:, [k, k + j]], q[[k, k + j]] = a[:, [k + j, k]], q[[k + j, k]]
-        size = abs(a[k, k])
-        if size < least:
-            a[k, k] = least * (a[k, k] / size if size else 1)
-            bumped += 1
-        elif size == 0:
-            zero = True
-            continue
-        a[k + 1 :, k] /= a[k, k]
-        a[k + 1 :, k + 1 :] -= np.outer(a[k + 1 :, k], a[k, k + 1 :])
+#: Width of a panel of the dense factorization, and scalars in a stack of fronts.
+PANEL, STACK = 64, 1 << 22
+
+
+def _swap(a: np.ndarray, k: int, other: np.ndarray, axis: int) -> None:
+    """Exchange rows (axis 1) or columns (axis 2) k and ``other`` of every matrix of a stack."""
+    b = np.flatnonzero(other != k)
+    if len(b):
+        i, j = ((b, k), (b, other[b])) if axis == 1 else ((b, slice(None), k), (b, slice(None), other[b]))
+        a[i], a[j] = a[j].copy(), a[i].copy()
+
+
+def dense_lu(a: np.ndarray, pivoting: str, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
+    """LU of a stack of square blocks in place: rows and columns as exchanged, pivots replaced, and which blocks had a pivot of exactly zero.
+
+    Panels of PANEL columns, unless columns are exchanged too.
+    """
+    count, w = a.shape[:2]
+    p, q = (np.tile(np.arange(w), (count, 1)) for _ in range(2))
+    bumped, zero, every = 0, np.zeros(count, bool), np.arange(count)
+    width = w if pivoting == "complete" else PANEL
+    for start in range(0, w, width):
+        stop = min(w, start + width)
+        for k in range(start, stop):
+            if pivoting == "partial":
+                to = k + np.argmax(np.abs(a[:, k:, k]), 1)
+                _swap(a, k, to, 1)
+                p[every, k], p[every, to] = p[every, to], p[every, k]
+            elif pivoting == "complete":
+                i, j = np.divmod(np.argmax(np.abs(a[:, k:, k:]).reshape(count, -1), 1), w - k)
+                for m, to, axis in ((p, k + i, 1), (q, k + j, 2)):
+                    _swap(a, k, to, axis)
+                    m[every, k], m[every, to] = m[every, to], m[every, k]
+            pivot = a[:, k, k]
+            size = np.abs(pivot)
+            if len(small := np.flatnonzero(size < least)):
+                a[small, k, k] = least * np.where(size[small] > 0, pivot[small] / np.where(size[small] > 0, size[small], 1), 1)
+                bumped += len(small)
+            none = a[:, k, k] == 0
+            zero |= none
+            a[:, k + 1 :, k] /= np.where(none, 1, a[:, k, k])[:, None]
+            a[:, k + 1 :, k + 1 : stop] -= a[:, k + 1 :, k, None] * a[:, k, None, k + 1 : stop]
+        if stop < w:
+            one = np.tril(a[:, start:stop, start:stop], -1) + np.eye(stop - start, dtype=a.dtype)
+            a[:, start:stop, stop:] = np.linalg.solve(one, a[:, start:stop, stop:])
+            a[:, stop:, stop:] -= a[:, stop:, start:stop] @ a[:, start:stop, stop:]
     return p, q, a, bumped, zero
 
 
+class Fronts:
+    """The elimination tree of supernodes: parents, levels, and where rows lie in each front."""
+
+    def __init__(self, n: int, s: sy.Structure):
+        self.n, self.first, self.last, self.width, self.height = n, s.first, s.last, s.widths, s.below
+        self.start = np.concatenate([[0], np.cumsum(self.height)]).astype(np.int64)
+        self.rows = np.concatenate(s.rows).astype(np.int64) if len(s.rows) else np.zeros(0, np.int64)
+        self.of = s.of()
+        count = len(self.first)
+        self.key = np.repeat(np.arange(count), self.height) * max(n, 1) + self.rows
+        has = self.height > 0
+        self.parent = np.full(count, -1)
+        self.parent[has] = self.of[self.rows[self.start[:-1][has]]]
+        level = [0] * count
+        for k, up in enumerate(self.parent.tolist()):
+            if up >= 0 and level[up] <= level[k]:
+                level[up] = level[k] + 1
+        self.level = np.array(level, np.int64)
+
+    def place(self, node: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """Position of an internal index in the front of a supernode."""
+        below = np.searchsorted(self.key, node * self.n + index) - self.start[node] + self.width[node]
+        return np.where(index <= self.last[node], index - self.first[node], below)
+
+    def work(self) -> np.ndarray:
+        w, m = self.width.astype(float), (self.width + self.height).astype(float)
+        return w * m * m
+
+    def jobs(self, count: int) -> np.ndarray:
+        """A job for each supernode: whole subtrees, dealt out by work; -1 for the cap above them."""
+        total = self.work()
+        kids: list[list[int]] = [[] for _ in range(len(total) + 1)]
+        for k, up in enumerate(self.parent.tolist()):
+            if up >= 0:
+                total[up] += total[k]
+            kids[up].append(k)
+        heavy, trees = [(-total[k], k) for k in kids[-1]], []
+        heapq.heapify(heavy)
+        goal = self.work().sum() / (2 * count)
+        while heavy:
+            size, k = heapq.heappop(heavy)
+            if -size <= goal:
+                trees.append((size, k))
+            else:
+                for c in kids[k]:
+                    heapq.heappush(heavy, (-total[c], c))
+        job, load = np.full(len(total), -1), [(0.0, j) for j in range(count)]
+        for size, k in sorted(trees):
+            have, j = heapq.heappop(load)
+            heapq.heappush(load, (have - size, j))
+            job[k] = j
+        for k in range(len(total) - 1, -1, -1):
+            if job[k] < 0 and self.parent[k] >= 0:
+                job[k] = job[self.parent[k]]
+        return job
+
+
+def _padded(height: np.ndarray) -> np.ndarray:
+    """Heights up to 256 rounded up by at most a quarter, so that more fronts stack."""
+    step = 1 << np.maximum(0, np.floor(np.log2(np.maximum(height, 1))).astype(np.int64) - 2)
+    return np.where(height <= 256, -(-height // step) * step, height)
+
+
 @dataclass
+class Stack:
+    """Factors of some supernodes of one level: (count, width, ...) arrays. ``rows`` beyond a front's own are n."""
+
+    level: int
+    first: np.ndarray
+    rows: np.ndarray
+    p: np.ndarray
+    q: np.ndarray
+    lu: np.ndarray
+    l_inv: np.ndarray
+    u_inv: np.ndarray
+    low: np.ndarray
+    up: np.ndarray
+
+    @property
+    def own(self) -> np.ndarray:
+        return self.first[:, None] + np.arange(self.lu.shape[1])
+
+
+ARRAYS = ("first", "rows", "p", "q", "lu", "l_inv", "u_inv", "low", "up")
+
+
+def eliminate(fronts: Fronts, chosen: np.ndarray, ir: np.ndarray, ic: np.ndarray, val: np.ndarray, incoming: list[tuple[int, np.ndarray]], pivoting: str, least: float):
+    """Eliminate the chosen supernodes (whole subtrees, or all that is left above them): stacks, updates that leave, pivots replaced, message.
+
+    ``ir``, ``ic``, ``val``: the scaled entries that these supernodes own. ``incoming``: updates of supernodes eliminated elsewhere. An update
+    is a supernode and its Schur block.
+    """
+    f, count = fronts, len(fronts.first)
+    pad = _padded(f.height[chosen])
+    order = np.lexsort((chosen, pad, f.width[chosen], f.level[chosen]))
+    chosen, pad = chosen[order], pad[order]
+    level, width = f.level[chosen], f.width[chosen]
+    room = np.maximum(1, STACK // np.maximum(1, (width + pad) ** 2))
+    bounds, at = [0], 0
+    while at < len(chosen):
+        near = slice(at, at + int(room[at]))
+        other = np.flatnonzero((level[near] != level[at]) | (width[near] != width[at]) | (pad[near] != pad[at]))
+        at = at + int(other[0]) if len(other) else min(at + int(room[at]), len(chosen))
+        bounds.append(at)
+    stack_of, slot = np.full(count, -1), np.zeros(count, np.int64)
+    for g, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        stack_of[chosen[a:b]] = g
+        slot[chosen[a:b]] = np.arange(b - a)
+    owner = f.of[np.minimum(ir, ic)] if len(ir) else ir
+    by = np.argsort(stack_of[owner], kind="stable") if len(ir) else ir
+    cut = np.searchsorted(stack_of[owner][by], np.arange(len(bounds))) if len(ir) else np.zeros(len(bounds), np.int64)
+    waiting: dict[int, list] = {}
+
+    def send(nodes: np.ndarray, updates: np.ndarray) -> None:
+        """Give the updates of these supernodes (one stack) to the stacks of their parents."""
+        up = f.parent[nodes]
+        to = stack_of[up]
+        high = updates.shape[1]
+        j = np.minimum(np.arange(high), np.maximum(f.height[nodes][:, None] - 1, 0))
+        place = f.place(np.repeat(up, high), f.rows[(f.start[nodes][:, None] + j).ravel()]).reshape(len(nodes), high)
+        for g in np.unique(to):
+            sel = np.flatnonzero(to == g)
+            waiting.setdefault(int(g), []).append((updates, sel, slot[up[sel]], place[sel], f.height[nodes[sel]]))
+
+    for node, block in incoming:
+        send(np.array([node]), block[None])
+    stacks, leaving, bumped = [], [], 0
+    for g, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        nodes, w, high = chosen[a:b], int(width[a]), int(pad[a])
+        m = w + high
+        front = np.zeros((b - a, m, m), val.dtype)
+        flat = front.reshape(-1)
+        e = by[cut[g] : cut[g + 1]]
+        np.add.at(flat, (slot[owner[e]] * m + f.place(owner[e], ir[e])) * m + f.place(owner[e], ic[e]), val[e])
+        for updates, sel, where, place, heights in waiting.pop(g, ()):
+            if len(sel) == 1:
+                h = int(heights[0])
+                front[where[0]][np.ix_(place[0, :h], place[0, :h])] += updates[sel[0], :h, :h]
+                continue
+            step = max(1, STACK // max(1, place.shape[1] ** 2))
+            for c in range(0, len(sel), step):
+                part = slice(c, c + step)
+                line = where[part, None] * m + place[part]
+                np.add.at(flat, (line[:, :, None] * m + place[part][:, None, :]).ravel(), updates[sel[part]].ravel())
+        p, q, lu, more, zero = dense_lu(front[:, :w, :w].copy(), pivoting, least)
+        bumped += more
+        if zero.any():
+            return [], [], bumped, "a pivot is exactly zero: the matrix is singular"
+        one = np.tril(lu, -1) + np.eye(w, dtype=lu.dtype)
+        try:
+            l_inv, u_inv = np.linalg.inv(one), np.linalg.inv(np.triu(lu))
+        except np.linalg.LinAlgError:
+            return [], [], bumped, "a diagonal block is singular to working precision"
+        low = np.take_along_axis(front[:, w:, :w], q[:, None, :], 2) @ u_inv
+        up = l_inv @ np.take_along_axis(front[:, :w, w:], p[:, :, None], 1)
+        j = np.arange(high)
+        own = j < f.height[nodes][:, None]
+        rows = np.where(own, f.rows[np.minimum(f.start[nodes][:, None] + j, max(len(f.rows) - 1, 0))], f.n) if high else np.zeros((b - a, 0), np.int64)
+        stacks.append(Stack(int(level[a]), f.first[nodes], rows, p, q, lu, l_inv, u_inv, low, up))
+        if high:
+            update = front[:, w:, w:] - low @ up
+            stay = stack_of[f.parent[nodes]] >= 0
+            if stay.any():
+                send(nodes[stay], update[stay] if not stay.all() else update)
+            leaving += [(int(k), update[i, : f.height[k], : f.height[k]]) for i, k in enumerate(nodes) if f.parent[k] >= 0 and not stay[i]]
+    return stacks, leaving, bumped, ""
+
+
+def _subtract(y: np.ndarray, rows: np.ndarray, by: np.ndarray) -> None:
+    flat = rows.ravel()
+    by = by.reshape(len(flat), y.shape[1])
+    for k in range(y.shape[1]):
+        np.subtract.at(y[:, k], flat, by[:, k])
+
+
 class Factor:
-    """Factors by supernode: (P, Q, packed LU, lower panel, upper panel)."""
-
-    a: Analysis
-    row: np.ndarray
-    col: np.ndarray
-    val: np.ndarray
-    dr: np.ndarray
-    dc: np.ndarray
-    parts: list = field(default_factory=list)
-    replaced: int = 0
-    ok: bool = False
-    message: str = ""
-    threshold: float = 0.0
-    iterations: int = 0
-    residual: float = math.nan
+    """Factors by stacks of supernodes, the matrix they belong to and its scales."""
+
+    def __init__(self, a: Analysis, row: np.ndarray, col: np.ndarray, val: np.ndarray, dr: np.ndarray, dc: np.ndarray):
+        self.a, self.row, self.col, self.val, self.dr, self.dc = a, row, col, val, dr, dc
+        self.stacks: list[Stack] = []
+        self.replaced, self.ok, self.message, self.threshold = 0, False, "", 0.0
+        self.iterations, self.residual = 0, math.nan
+        self._sorted: dict[bool, tuple] = {}
 
     # Determinant of the factored matrix: that of the perturbed one if pivots were replaced.
-    def _diagonal(self) -> np.ndarray:
-        return np.concatenate([np.diag(x[2]) for x in self.parts]) if self.parts else np.ones(0, self.val.dtype)
+    def diagonal(self) -> np.ndarray:
+        """Pivots by internal column."""
+        out = np.ones(self.a.n, self.val.dtype)
+        for s in self.stacks:
+            out[s.own] = np.diagonal(s.lu, axis1=1, axis2=2)
+        return out
 
     def log_abs_det(self) -> float:
         with np.errstate(divide="ignore"):
-            return float(np.log(np.abs(self._diagonal())).sum() - np.log(self.dr).sum() - np.log(self.dc).sum())
+            return float(np.log(np.abs(self.diagonal())).sum() - np.log(self.dr).sum() - np.log(self.dc).sum())
 
     def det_sign(self):
-        d = self._diagonal()
+        d = self.diagonal()
         if np.any(d == 0):
             return 0.0
-        sign = mt.parity(self.a.match) * math.prod(mt.parity(p) * mt.parity(q) for p, q, *_ in self.parts)
+        sign = mt.parity(self.a.match)
+        for s in self.stacks:
+            for m in (s.p, s.q):
+                for x in m[(m != np.arange(m.shape[1])).any(1)]:
+                    sign *= mt.parity(x)
         unit = np.prod(d / np.abs(d)) * sign
         return complex(unit) if np.iscomplexobj(d) else float(unit)
 
     def determinant(self):
         return self.det_sign() * np.exp(self.log_abs_det())
 
-    def _lower(self, y: np.ndarray, trans: str) -> np.ndarray:
-        s, f = self.a.structure, _as(trans)
-        for (p, q, lu, low, up), a, b, r in zip(self.parts, s.first, s.last + 1, s.rows, strict=True):
+    def lower(self, y: np.ndarray, trans: str = "N") -> np.ndarray:
+        """The sweep with L (or the transposed U) in internal numbering, in place of a copy."""
+        y = np.concatenate([y, np.zeros((1, y.shape[1]), y.dtype)])
+        for s in sorted(self.stacks, key=lambda s: s.level):
+            own = s.own
             if trans == "N":
-                y[a:b] = _unit(lu, y[a:b][p])
-                y[r] -= low @ y[a:b]
+                x = s.l_inv @ y[np.take_along_axis(own, s.p, 1)]
+                by = s.low @ x
             else:
-                y[a:b] = np.linalg.solve(f(np.triu(lu)), y[a:b][q])
-                y[r] -= f(up) @ y[a:b]
-        return y
-
-    def _upper(self, y: np.ndarray, trans: str) -> np.ndarray:
-        s, f = self.a.structure, _as(trans)
-        for (p, q, lu, low, up), a, b, r in reversed(list(zip(self.parts, s.first, s.last + 1, s.rows, strict=True))):
-            out = np.empty_like(y[a:b])
+                x = _as(trans)(s.u_inv) @ y[np.take_along_axis(own, s.q, 1)]
+                by = _as(trans)(s.up) @ x
+            y[own] = x
+            _subtract(y, s.rows, by)
+        return y[:-1]
+
+    def upper(self, y: np.ndarray, trans: str = "N") -> np.ndarray:
+        """The sweep with U (or the transposed L)."""
+        y = np.concatenate([y, np.zeros((1, y.shape[1]), y.dtype)])
+        for s in sorted(self.stacks, key=lambda s: -s.level):
+            below = y[s.rows]  # rows beyond a front's own read the zero at the end
             if trans == "N":
-                out[q] = np.linalg.solve(np.triu(lu), y[a:b] - up @ y[r])
+                y[np.take_along_axis(s.own, s.q, 1)] = s.u_inv @ (y[s.own] - s.up @ below)
             else:
-                one = np.tril(lu, -1) + np.eye(len(lu), dtype=lu.dtype)
-                out[p] = np.linalg.solve(f(one), y[a:b] - f(low) @ y[r])
-            y[a:b] = out
-        return y
+                y[np.take_along_axis(s.own, s.p, 1)] = _as(trans)(s.l_inv) @ (y[s.own] - _as(trans)(s.low) @ below)
+        return y[:-1]
+
+    def pivoted(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each internal row and column, its place after the exchanges inside blocks."""
+        r, c = np.arange(self.a.n), np.arange(self.a.n)
+        for s in self.stacks:
+            for out, m in ((r, s.p), (c, s.q)):
+                out[np.take_along_axis(s.own, m, 1)] = s.own
+        return r, c
+
+    def triangle(self, which: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries of L (unit diagonal included) or U in pivoted numbering: L U is the scaled, permuted matrix, if no pivot was replaced."""
+        r, c = self.pivoted()
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.val.dtype))]
+        for s in self.stacks:
+            w, own = s.lu.shape[1], s.own
+            i, j = np.tril_indices(w, -1) if which == "lower" else np.triu_indices(w)
+            out.append((own[:, i].ravel(), own[:, j].ravel(), s.lu[:, i, j].ravel()))
+            if which == "lower":
+                out.append((own.ravel(), own.ravel(), np.ones(own.size, self.val.dtype)))
+            b, x = np.nonzero(s.rows < self.a.n)
+            index = np.repeat((r if which == "lower" else c)[s.rows[b, x]], w)
+            mine = own[b].ravel()
+            out.append((index, mine, s.low[b, x].ravel()) if which == "lower" else (mine, index, s.up[b, :, x].ravel()))
+        return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
     def direct(self, b: np.ndarray, trans: str = "N") -> np.ndarray:
         """The factored solution, without refinement: N, T (transposed) or H (adjoint)."""
         into, scale, out, last = (self.a.row_to, self.dr, self.a.col_to, self.dc) if trans == "N" else (self.a.col_to, self.dc, self.a.row_to, self.dr)
         y = np.empty(b.shape, np.result_type(b, self.val))
         y[into] = b * scale[:, None]
-        y = self._upper(self._lower(y, trans), trans)
+        y = self.upper(self.lower(y, trans), trans)
         return y[out] * last[:, None]
 
     def multiply(self, x: np.ndarray, trans: str = "N") -> np.ndarray:
-        row, col, val = (self.row, self.col, self.val) if trans == "N" else (self.col, self.row, self.val.conj() if trans == "H" else self.val)
+        key = trans == "N"
+        if key not in self._sorted:
+            row, col = (self.row, self.col) if key else (self.col, self.row)
+            order = np.argsort(row, kind="stable")
+            starts = np.flatnonzero(np.diff(row[order], prepend=-1))
+            self._sorted[key] = order, row[order][starts], col[order], starts
+        order, rows, col, starts = self._sorted[key]
+        val = self.val.conj() if trans == "H" else self.val
         out = np.zeros(x.shape, np.result_type(x, val))
-        np.add.at(out, row, val[:, None] * x[col])
+        if len(order):
+            out[rows] = np.add.reduceat(val[order, None] * x[col], starts, axis=0)
         return out
 
     def solve(self, b: np.ndarray, trans: str = "N") -> np.ndarray:
@@ -216,99 +459,114 @@ class Factor:
         return x
 
     def _bicgstab(self, x: np.ndarray, b: np.ndarray, trans: str) -> np.ndarray:
-        """Preconditioned BiCGStab for each column, from the direct solution; the best iterate is returned."""
-        o, out = self.a.options, x.copy()
-        for k in range(b.shape[1]):
-            rhs, z = b[:, k : k + 1], x[:, k : k + 1].copy()
-            goal = o.refine_tolerance * np.linalg.norm(rhs)
-            r = rhs - self.multiply(z, trans)
-            best, low = z.copy(), np.linalg.norm(r)
-            if not np.isfinite(low):
-                continue
-            shadow, rho, alpha, omega = r.copy(), 1.0, 1.0, 1.0
-            v = p = np.zeros_like(r)
-            for _ in range(o.max_refinements):
-                if low <= goal:
-                    break
-                new = np.vdot(shadow, r)
-                if new == 0 or omega == 0:
-                    break
-                p = r + (new / rho) * (alpha / omega) * (p - omega * v)
-                rho = new
-                ph = self.direct(p, trans)
-                v = self.multiply(ph, trans)
-                den = np.vdot(shadow, v)
-                if den == 0:
-                    break
-                alpha = rho / den
-                s = r - alpha * v
-                sh = self.direct(s, trans)
-                t = self.multiply(sh, trans)
-                tt = np.vdot(t, t)
-                omega = np.vdot(t, s) / tt if tt else 0.0
-                z = z + alpha * ph + omega * sh
-                r = rhs - self.multiply(z, trans)
-                self.iterations += 1
-                size = np.linalg.norm(r)
-                if not np.isfinite(size):
-                    break
-                if size < low:
-                    best, low = z.copy(), size
-            out[:, k : k + 1] = best
-        return out
+        """Preconditioned BiCGStab from the direct solution, all columns at once, each with its own scalars; a column's best iterate is returned."""
+        o, k = self.a.options, b.shape[1]
+        dot = lambda u, v: np.einsum("ij,ij->j", u.conj(), v)
+        size = lambda u: np.linalg.norm(u, axis=0)
+        goal = o.refine_tolerance * size(b)
+        best, z = x.copy(), x.copy()
+        r = b - self.multiply(z, trans)
+        low = size(r)
+        live = np.flatnonzero(np.isfinite(low) & (low > goal))
+        shadow, v, p = r.copy(), np.zeros_like(r), np.zeros_like(r)
+        rho, alpha, omega = (np.ones(k, r.dtype) for _ in range(3))
+        for _ in range(o.max_refinements):
+            new = dot(shadow[:, live], r[:, live])
+            live, new = live[ok := (new != 0) & (omega[live] != 0)], new[ok]
+            if not len(live):
+                break
+            p[:, live] = r[:, live] + (new / rho[live]) * (alpha[live] / omega[live]) * (p[:, live] - omega[live] * v[:, live])
+            rho[live] = new
+            ph = self.direct(p[:, live], trans)
+            v[:, live] = self.multiply(ph, trans)
+            den = dot(shadow[:, live], v[:, live])
+            ph, live, den = ph[:, ok := den != 0], live[ok], den[ok]
+            if not len(live):
+                break
+            alpha[live] = rho[live] / den
+            s = r[:, live] - alpha[live] * v[:, live]
+            sh = self.direct(s, trans)
+            t = self.multiply(sh, trans)
+            tt = dot(t, t)
+            omega[live] = np.where(tt != 0, dot(t, s) / np.where(tt != 0, tt, 1), 0)
+            z[:, live] += alpha[live] * ph + omega[live] * sh
+            r[:, live] = b[:, live] - self.multiply(z[:, live], trans)
+            self.iterations += len(live)
+            now = size(r[:, live])
+            better = np.isfinite(now) & (now < low[live])
+            best[:, live[better]], low[live[better]] = z[:, live[better]], now[better]
+            live = live[np.isfinite(now) & (low[live] > goal[live])]
+            if not len(live):
+                break
+        return best
 
 
 def _as(trans: str):
-    return (lambda m: m.conj().T) if trans == "H" else (lambda m: m.T)
-
+    return (lambda m: np.swapaxes(m, -1, -2).conj()) if trans == "H" else (lambda m: np.swapaxes(m, -1, -2))
 
-def _unit(lu: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.linalg.solve(np.tril(lu, -1) + np.eye(len(lu), dtype=lu.dtype), b)
 
-
-def factorize(a: Analysis, row: np.ndarray, col: np.ndarray, val: np.ndarray) -> Factor:
-    """Multifrontal elimination in ascending supernodes; each front is a dense block, its update waits for the supernode that owns its first row."""
-    o, n, s = a.options, a.n, a.structure
-    row, col, val = assemble(n, row, col, val)
+def prepare(a: Analysis, row: np.ndarray, col: np.ndarray, val: np.ndarray) -> tuple[Factor, np.ndarray]:
+    """A factor without its stacks, and the scaled values: what comes before elimination. ``message`` is set if the fill guard refuses."""
+    o = a.options
+    row, col, val = assemble(a.n, row, col, val)
     dr, dc = a.seed_row, a.seed_col
     if o.equilibrate:
-        dr, dc = ruiz(n, row, col, np.abs(val).astype(float), dr, dc)
+        dr, dc = ruiz(a.n, row, col, np.abs(val).astype(float), dr, dc)
     out = Factor(a, row, col, val, dr, dc)
-    if o.max_factor_nonzeros and s.predicted() > o.max_factor_nonzeros:
-        out.message = f"the factors would hold {s.predicted()} scalars, more than the limit of {o.max_factor_nonzeros}"
-        return out
+    if o.max_factor_nonzeros and a.structure.predicted() > o.max_factor_nonzeros:
+        out.message = f"the factors would hold {a.structure.predicted()} scalars, more than the limit of {o.max_factor_nonzeros}"
     scaled = (val * dr[row] * dc[col]).astype(val.dtype)
     top = float(np.abs(scaled).max()) if len(scaled) else 0.0
     out.threshold = o.pivot_threshold if o.pivot_threshold is not None else math.sqrt(np.finfo(val.dtype).eps) * top
-    ir, ic = a.row_to[row], a.col_to[col]
-    of = s.of()
-    owner = of[np.minimum(ir, ic)] if len(ir) else ir
-    order = np.argsort(owner, kind="stable")
-    cut = np.searchsorted(owner[order], np.arange(len(s.first) + 1))
-    waiting: list[list] = [[] for _ in s.first]
-    singular = False
-    for k, (f, l_, below) in enumerate(zip(s.first, s.last, s.rows, strict=True)):
-        index = np.concatenate([np.arange(f, l_ + 1), below])
-        w = l_ - f + 1
-        front = np.zeros((len(index), len(index)), val.dtype)
-        e = order[cut[k] : cut[k + 1]]
-        np.add.at(front, (np.searchsorted(index, ir[e]), np.searchsorted(index, ic[e])), scaled[e])
-        for rows, update in waiting[k]:
-            at = np.searchsorted(index, rows)
-            front[np.ix_(at, at)] += update
-        waiting[k] = []
-        p, q, lu, bumped, zero = dense_lu(front[:w, :w].copy(), o.pivoting, out.threshold)
-        out.replaced += bumped
-        singular |= zero
-        low, up = front[w:, :w][:, q], front[:w, w:][p]
-        if len(below) and not zero:
-            low = np.linalg.solve(np.triu(lu).T, low.T).T
-            up = _unit(lu, up)
-            waiting[of[below[0]]].append((below, front[w:, w:] - low @ up))
-        out.parts.append((p, q, lu, low, up))
-        if singular:
-            out.message = "a pivot is exactly zero: the matrix is singular"
-            out.parts = []
-            return out
-    out.ok = True
+    return out, scaled
+
+
+def factorize(a: Analysis, row: np.ndarray, col: np.ndarray, val: np.ndarray) -> Factor:
+    """Multifrontal elimination, level by level of the tree of supernodes, all in this task."""
+    out, scaled = prepare(a, row, col, val)
+    if out.message:
+        return out
+    fronts = Fronts(a.n, a.structure)
+    every = np.arange(len(fronts.first))
+    out.stacks, _, out.replaced, out.message = eliminate(fronts, every, a.row_to[out.row], a.col_to[out.col], scaled, [], a.options.pivoting, out.threshold)
+    out.ok = not out.message
+    return out
+
+
+# Arrays that a table holds.
+def pack_stacks(stacks: list[Stack]) -> dict[str, np.ndarray]:
+    out = {"shape": np.array([(s.level, *s.low.shape[:2], s.lu.shape[1]) for s in stacks], np.int64).reshape(-1, 4)}
+    for name in ARRAYS:
+        parts = [getattr(s, name).ravel() for s in stacks]
+        out[name] = np.concatenate(parts) if parts else np.zeros(0)
+    return out
+
+
+def unpack_stacks(held: dict[str, np.ndarray]) -> list[Stack]:
+    out, at = [], dict.fromkeys(ARRAYS, 0)
+    for level, count, high, w in held["shape"].reshape(-1, 4).tolist():
+        shapes = {"first": (count,), "rows": (count, high), "p": (count, w), "q": (count, w), "lu": (count, w, w), "l_inv": (count, w, w), "u_inv": (count, w, w), "low": (count, high, w), "up": (count, w, high)}
+        got = {}
+        for name, shape in shapes.items():
+            size = math.prod(shape)
+            got[name] = held[name][at[name] : at[name] + size].reshape(shape)
+            at[name] += size
+        out.append(Stack(level, **got))
     return out
+
+
+def pack_analysis(a: Analysis) -> dict[str, np.ndarray]:
+    s = a.structure
+    rows = np.concatenate(s.rows).astype(np.int64) if s.rows else np.zeros(0, np.int64)
+    note = json.dumps({"n": a.n, "perfect": bool(a.perfect), "ordering": a.ordering, "options": asdict(a.options)})
+    return {
+        "note": np.frombuffer(note.encode(), np.uint8), "match": a.match, "row_to": a.row_to, "col_to": a.col_to, "seed_row": a.seed_row, "seed_col": a.seed_col,
+        "parent": s.parent, "first": s.first, "last": s.last, "below": s.below, "rows": rows, "level": s.level, "counts": s.counts,
+    }
+
+
+def unpack_analysis(held: dict[str, np.ndarray]) -> Analysis:
+    note = json.loads(held["note"].tobytes())
+    rows = np.split(held["rows"], np.cumsum(held["below"])[:-1]) if len(held["below"]) else []
+    structure = sy.Structure(held["parent"], held["first"], held["last"], rows, held["level"], held["counts"])
+    return Analysis(note["n"], SolveOptions(**note["options"]), held["match"], note["perfect"], held["row_to"], held["col_to"], held["seed_row"], held["seed_col"], structure, note["ordering"])

@@ -21,11 +21,11 @@ REPORT = (
 )
 
 
-def _keyed(df: DataFrame) -> DataFrame:
+def keyed(df: DataFrame) -> DataFrame:
     return df if "system_id" in df.columns else df.withColumn("system_id", F.lit(0).cast("long"))
 
 
-def _parts(df: DataFrame) -> DataFrame:
+def complex_parts(df: DataFrame) -> DataFrame:
     """re, im instead of val (a number or a struct of both)."""
     if "val" not in df.columns:
         return df
@@ -34,47 +34,52 @@ def _parts(df: DataFrame) -> DataFrame:
     return df.withColumn("re", F.col("val").cast("double")).withColumn("im", F.lit(0.0)).drop("val")
 
 
-def _checked(df: DataFrame, names: list[str]) -> DataFrame:
+def checked(df: DataFrame, names: list[str]) -> DataFrame:
     wrong = F.coalesce(*[F.when(F.col(c).isNull(), F.raise_error(F.lit(f"null in {c}"))) for c in names], F.lit(None))
     return df.withColumn(names[0], F.coalesce(wrong.cast(df.schema[names[0]].dataType), F.col(names[0])))
 
 
+def values_of(pdf: pd.DataFrame, options: SolveOptions) -> np.ndarray:
+    kind = np.dtype(options.dtype)
+    return (pdf.re.to_numpy() + 1j * pdf.im.to_numpy() if kind.kind == "c" else pdf.re.to_numpy()).astype(kind)
+
+
 def run(a: DataFrame, b: DataFrame | None, options: SolveOptions, want: tuple[str, ...] = ("x", "report"), n: int | None = None, trans: str = "N", values: DataFrame | None = None) -> DataFrame:
     """Every wanted part of every system, in long form (``OUT``).
 
     ``a``: row, col, val (or re, im), optionally system_id; duplicates are summed. ``b``: idx, rhs_id, val. ``values``: a
     second matrix with the same pattern, factored with the first one's analysis. Without ``n`` a system's size is its largest index + 1. Nulls are
-    refused. A system is one task: the guard ``max_factor_nonzeros`` bounds its memory before anything is allocated.
-    Parts: x, report, perm, scale, supernode, block, source, etree, match, l_solve, u_solve, lower, upper.
+    refused. A system is one task (``Solver`` splits one over several, and keeps factors); the guard ``max_factor_nonzeros``, if set, refuses
+    large factors before anything is allocated.
+    Parts: x, report, perm, scale, supernode, block, source, etree, match, l_solve, u_solve, lower, upper, diag, phase.
     """
-    mats = _checked(_parts(_keyed(a)), ["row", "col", "re"]).select("system_id", F.lit("a").alias("what"), F.col("row").alias("i"), F.col("col").alias("j"), "re", "im")
+    mats = checked(complex_parts(keyed(a)), ["row", "col", "re"]).select("system_id", F.lit(0).cast("byte").alias("what"), F.col("row").alias("i"), F.col("col").alias("j"), "re", "im")
     if values is not None:
-        mats = mats.union(_checked(_parts(_keyed(values)), ["row", "col", "re"]).select("system_id", F.lit("v"), "row", "col", "re", "im"))
+        mats = mats.union(checked(complex_parts(keyed(values)), ["row", "col", "re"]).select("system_id", F.lit(1).cast("byte"), "row", "col", "re", "im"))
     if b is not None:
-        mats = mats.union(_checked(_parts(_keyed(b)), ["idx", "re"]).select("system_id", F.lit("b"), F.col("idx"), F.col("rhs_id").cast("long"), "re", "im"))
-
+        mats = mats.union(checked(complex_parts(keyed(b)), ["idx", "re"]).select("system_id", F.lit(2).cast("byte"), F.col("idx"), F.col("rhs_id").cast("long"), "re", "im"))
     solves = b is not None
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         system = pdf.system_id.iloc[0]
-        kind = np.dtype(options.dtype)
+        kind, what = np.dtype(options.dtype), pdf.what.to_numpy()
 
-        def take(what: str):
-            p = pdf[pdf.what == what]
-            v = p.re.to_numpy() + 1j * p.im.to_numpy() if kind.kind == "c" else p.re.to_numpy()
-            return p.i.to_numpy(), p.j.to_numpy(), v.astype(kind)
+        def take(code: int):
+            p = pdf[what == code]
+            return p.i.to_numpy(), p.j.to_numpy(), values_of(p, options)
 
-        row, col, val = take("a")
-        bi, bj, bv = take("b")
-        size = n if n is not None else int(max([-1, *row, *col, *bi])) + 1
+        row, col, val = take(0)
+        bi, bj, bv = take(2)
+        size = n if n is not None else int(max([-1, *(int(x.max()) for x in (row, col, bi) if len(x))])) + 1
         out: list[pd.DataFrame] = []
 
         def put(part, i, j=0, k=0, re=math.nan, im=0.0, text=None):
-            out.append(pd.DataFrame({"system_id": system, "part": part, "i": i, "j": j, "k": k, "re": re, "im": im, "text": text}, index=range(len(i)) if np.ndim(i) else [0]))
+            if part in want:
+                out.append(pd.DataFrame({"system_id": system, "part": part, "i": i, "j": j, "k": k, "re": re, "im": im, "text": text}, index=range(len(i)) if np.ndim(i) else [0]))
 
         def table(part, m):
-            i, j = np.nonzero(np.ones(m.shape))
-            put(part, i, j, 0, np.real(m).ravel().astype(float), np.imag(m).ravel().astype(float))
+            i, j = np.indices(m.shape)
+            put(part, i.ravel(), j.ravel(), 0, np.real(m).ravel().astype(float), np.imag(m).ravel().astype(float))
 
         an = sv.analyze(size, row, col, val, options)
         s = an.structure
@@ -82,11 +87,11 @@ def run(a: DataFrame, b: DataFrame | None, options: SolveOptions, want: tuple[st
         put("match", np.arange(size), an.match)
         put("etree", np.arange(size), s.parent, s.counts)
         put("supernode", np.arange(len(s.first)), s.first, s.last, s.below.astype(float), s.level.astype(float))
-        for part, rows in (("block", s.blocks()), ("source", s.sources())):
-            if rows:
-                r = np.array(rows)
+        for part, rows in (("block", s.blocks), ("source", s.sources)):
+            if part in want and (found := rows()):
+                r = np.array(found)
                 put(part, r[:, 0], r[:, 1], r[:, 2], *r[:, 3:5].T.astype(float))
-        f = sv.factorize(an, *take("v" if (pdf.what == "v").any() else "a"))
+        f = sv.factorize(an, *take(1 if (what == 1).any() else 0))
         put("scale", np.arange(size), 0, 0, f.dr, f.dc)
         factored = f.ok
         report = {"factorized": factored, "ordering": an.ordering, "matching_perfect": bool(an.perfect), "nnz_l": s.factor_nonzeros(), "nnz_u": s.factor_nonzeros(), "predicted": s.predicted(), "supernodes": len(s.first)}
@@ -97,25 +102,26 @@ def run(a: DataFrame, b: DataFrame | None, options: SolveOptions, want: tuple[st
             if kind.kind == "c":
                 d = f.det_sign()
                 put("phase", 0, 0, 0, d.real, d.imag)
+            for which in ("lower", "upper"):
+                if which in want:
+                    i, j, v = f.triangle(which)
+                    put(which, i, j, 0, np.real(v).astype(float), np.imag(v).astype(float))
             if solves:
                 k = int(bj.max()) + 1 if len(bj) else 1
                 dense = np.zeros((size, k), kind)
                 np.add.at(dense, (bi, bj), bv)
                 x = f.solve(dense, trans)
                 table("x", x)
-                if "l_solve" in want or "u_solve" in want:
-                    table("l_solve", f._lower(dense.copy(), "N"))
-                    table("u_solve", f._upper(dense.copy(), "N"))
-            if "diag" in want:
-                d = f._diagonal()
-                put("diag", np.arange(size), 0, 0, np.real(d).astype(float), np.imag(d).astype(float))
+                if "l_solve" in want:
+                    table("l_solve", f.lower(dense))
+                if "u_solve" in want:
+                    table("u_solve", f.upper(dense))
+            d = f.diagonal()
+            put("diag", np.arange(size), 0, 0, np.real(d).astype(float), np.imag(d).astype(float))
         report |= {"status": "success" if f.ok else "numerical_issue", "message": f.message, "residual": f.residual, "refine_iterations": f.iterations}
-        report = {k: None if isinstance(v, float) and not math.isfinite(v) and k != "log_abs_det" else v for k, v in report.items()}
-        if isinstance(report.get("log_abs_det"), float) and not math.isfinite(report["log_abs_det"]):
-            report["log_abs_det"] = None
+        report = {k: None if isinstance(v, float) and not math.isfinite(v) else v for k, v in report.items()}
         put("report", 0, text=json.dumps(report))
-        wanted = [t for t in out if t.part.iloc[:1].isin(want).any()]
-        return pd.concat(wanted) if wanted else pd.DataFrame(columns=out[0].columns)
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("system_id", "part", "i", "j", "k", "re", "im", "text")})
 
     return mats.groupBy("system_id").applyInPandas(one, OUT)
 

@@ -12,7 +12,7 @@ CHOICES = {
 
 @dataclass(frozen=True)
 class SolveOptions:
-    """How a system is analyzed, factored and solved. ``max_factor_nonzeros``: 0 is no limit; the default guards a task's memory."""
+    """How a system is analyzed, factored and solved. ``max_factor_nonzeros``: refuse factors of more scalars before allocating any; 0, the default, is no limit."""
 
     matching: str = "transversal"
     ordering: str = "min_degree"
@@ -28,7 +28,7 @@ class SolveOptions:
     refine_tolerance: float = 2.220446049250313e-16
     refine_only_if_perturbed: bool = False
     failure_threshold: float = 1e-6
-    max_factor_nonzeros: int = 50_000_000
+    max_factor_nonzeros: int = 0
     dtype: str = "float64"
 
     def __post_init__(self):

@@ -78,8 +78,8 @@ def pad_pattern(spark, sf):
     return pt.pad(gen.upwind2d(spark, 20, 20))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_partkey AS r, l_suppkey AS c FROM lineitem WHERE l_partkey <> l_suppkey AND l_partkey < 1000),
-m AS (SELECT count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM e f WHERE f.r = e.c AND f.c = e.r)) AS b FROM e)
+@query("""WITH e AS (SELECT DISTINCT l_partkey AS r, l_suppkey AS c FROM lineitem WHERE l_partkey <> l_suppkey),
+m AS (SELECT count(*) AS n, count(f.r) AS b FROM e LEFT JOIN e f ON f.r = e.c AND f.c = e.r)
 SELECT floor(b / CAST(n AS DOUBLE) * 1e6 + 0.5) / 1e6 AS symmetry, n = b AS symmetric FROM m""")
 def pattern_symmetry(spark, sf):
     li = tb.read(spark, sf, "lineitem")
@@ -394,25 +394,25 @@ def _made(spark, a, n, options, x=None, trans="N", **more):
 @query(XS)
 def solve_sp(spark, sf):
     n = _n(spark, sf)
-    return _made(spark, tb.supplier_part(spark, sf), n, LEVELLED.but(ordering="natural", matching="none"))
+    return _made(spark, tb.supplier_part(spark, sf), n, LEVELLED)
 
 
 @query(f"WITH {SP}, x AS ({RAMP}) SELECT idx, k AS rhs_id, {Q('val + k')} AS val FROM x CROSS JOIN (SELECT CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS k)")
 def solve_multi_rhs(spark, sf):
     n = _n(spark, sf)
-    return _made(spark, tb.supplier_part(spark, sf), n, LEVELLED.but(ordering="natural"), gen.ramp(spark, n, 4))
+    return _made(spark, tb.supplier_part(spark, sf), n, LEVELLED, gen.ramp(spark, n, 4))
 
 
 @query(XS)
 def solve_transpose(spark, sf):
     n = _n(spark, sf)
-    return _made(spark, tb.supplier_part(spark, sf), n, LEVELLED.but(ordering="natural", matching="none"), trans="T")
+    return _made(spark, tb.supplier_part(spark, sf), n, LEVELLED, trans="T")
 
 
 @query(XS)
 def solve_mc64(spark, sf):
     n = _n(spark, sf)
-    return _made(spark, tb.supplier_part(spark, sf), n, DYNAMIC.but(matching="mc64", ordering="natural"))
+    return _made(spark, tb.supplier_part(spark, sf), n, DYNAMIC.but(matching="mc64"))
 
 
 @query(GRID_X.format(n=400))

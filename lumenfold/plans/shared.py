@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()``, in ``spark.checkpoint.dir``; a temporary folder only where that is unset and Spark is local."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset and Spark is local."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         where = sc.getConf().get("spark.checkpoint.dir", None)
         if not where:
@@ -17,4 +18,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             where = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
         sc.setCheckpointDir(where)
-    return df.checkpoint()
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written once in the shared folder and read again: cuts its lineage without computing it twice."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
