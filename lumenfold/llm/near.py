@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.graph import components
-from lumenfold.llm.rows import pick, row_key
+from lumenfold.llm.rows import join_spread, pick, row_key
 from lumenfold.llm.store import Tables
 from lumenfold.llm.textarrays import BASE, U, Words, mix, pieces, windows
 
@@ -35,6 +35,8 @@ SLICE = 1 << 14
 STRENGTH = 0.1
 #: Members of a band that one task compares with as many others.
 BLOCK = 512
+#: Classes and texts with more than a HOT-th of all documents: at most HOT, so they can be broadcast.
+HOT = 10_000
 
 
 def _shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,8 +179,11 @@ def near_duplicates(
     one link to each component is found or no candidate is left; so no band is capped. A pair there whose samples agree four standard
     deviations less often than at the threshold (in fewer than 33 of 56) is not compared by texts, and so a class that a band offers may be missed.
     """
-    member, least = _classes(docs, id_col, text_col, shingle, threshold, bands, rows)
-    return member.join(least, "root").select(F.col("id").alias(id_col), "class_id", "class_size")
+    member, node, least, total = _classes(docs, id_col, text_col, shingle, threshold, bands, rows)
+    # A class or text of a third of all documents does not meet its verdict in one task: at most HOT of either have over a HOT-th of all.
+    placed = join_spread(node.select("node", "root", F.col("size").alias("copies")), least, "root", F.col("class_size") * HOT > total)
+    placed = placed.select("node", "copies", "class_id", "class_size")
+    return join_spread(member, placed, "node", F.col("copies") * HOT > total).select(F.col("id").alias(id_col), "class_id", "class_size")
 
 
 def _digest(text_col: str):
@@ -186,8 +191,8 @@ def _digest(text_col: str):
     return F.xxhash64(F.col(text_col))
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """``id, root`` of every document, and ``root, class_id, class_size, first`` of every class; ``first`` names its row of least id."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """``id, node`` of every document, ``node, root, size`` of every text, ``root, class_id, class_size, first`` of every class (``first`` names its row of least id), and the number of documents."""
     spark = docs.sparkSession
     tables = Tables(spark, "near")
     texts = docs.select(F.col(text_col).alias("text"))
@@ -289,10 +294,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
         groups = tables.keep(components(links, tables))
     tables.drop(met, lead, mixed, nodes)
 
-    member = signed.select("id", "digest", "node").join(groups, "node", "left").select("id", "digest", F.coalesce("root", "node").alias("root"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest"))
-    least = member.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), first.alias("first"))
-    return member, least
+    node = signed.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"), first.alias("first"))
+    node = tables.keep(node.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = tables.keep(node.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("size").alias("class_size"), F.min("first").alias("first")))
+    return signed.select("id", "node"), node, least, total
 
 
 class _sets:
@@ -361,6 +367,6 @@ def drop_near_copies(
 
     Of rows that share this id, the one of least hashed text stays, once; rows with one id in other classes do not stay with it.
     """
-    _, least = _classes(docs, id_col, text_col, shingle, threshold, bands, rows)
+    _, _, least, _ = _classes(docs, id_col, text_col, shingle, threshold, bands, rows)
     stay = least.select(row_key(F.col("first.digest"), F.col("first.id")).alias("__stay")).distinct()
     return pick(docs, row_key(_digest(text_col), F.col(id_col)), stay, F.lit(0))

@@ -34,3 +34,20 @@ def positions(df: DataFrame, by: list[Column], tables: Tables) -> DataFrame:
         before += r["count"]
     first = df.sparkSession.createDataFrame(starts, "__range long, __start long")
     return placed.join(F.broadcast(first), "__range").withColumn("position", F.col("__start") + F.col("__at")).drop("__range", "__start", "__at")
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, hot: Column) -> DataFrame:
+    """``rows`` with the columns of ``table``, which holds every value of the binary column ``key`` once.
+
+    ``hot`` is true for at most some 10,000 rows of ``table``: those are broadcast, so that rows of one hot key stay where they are; all others
+    meet by shuffle.
+    """
+    names = [c for c in table.columns if c != key]
+    known = table.select(F.col(key).alias("__key"), F.struct(*names).alias("__value"), hot.alias("__hot"))
+    few = F.broadcast(known.where("__hot").select(F.col("__key").alias("__few"), F.col("__value").alias("__found")))
+    seen = rows.join(few, F.col(key) == F.col("__few"), "left").drop("__few")
+    # Settled rows go by a key of their own that matches nothing.
+    own = F.concat(F.lit("-"), F.xxhash64(*rows.columns).cast("string")).cast("binary")
+    seen = seen.withColumn("__own", F.when(F.col("__found").isNull(), F.col(key)).otherwise(own))
+    out = seen.join(known.where("NOT __hot").drop("__hot"), F.col("__own") == F.col("__key"), "left")
+    return out.withColumn("__value", F.coalesce("__found", "__value")).select(*rows.columns, *[F.col("__value").getField(c).alias(c) for c in names])
