@@ -27,7 +27,7 @@ class Tables:
     """Written tables that cut lineage: each survives the loss of any executor.
 
     ``keep(df)`` writes a table and returns a frame that reads it; ``drop(frame)`` removes a table
-    once nothing that will still run reads it.
+    once nothing that will still run reads it. What is left goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -39,6 +39,9 @@ class Tables:
         self.made += 1
         path = f"{self.root}/{self.made}"
         df.write.mode("overwrite").parquet(path)
+        if self.made == 1:
+            p, files = self._path(self.root)
+            files.deleteOnExit(p)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -47,6 +50,9 @@ class Tables:
         for df in frames:
             path = self.paths.pop(id(df), "")
             if path:
-                jvm = self.spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                p, files = self._path(path)
+                files.delete(p, True)
+
+    def _path(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())

@@ -63,3 +63,25 @@ def test_ids_that_are_strings(spark):
     got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.repeated_words(docs).collect()}
     assert got == {"b10": (80, 0), "b9": (80, 80), "é": (81, 80), "a": (81, 0), None: (80, 0), "z": (0, 0)}
     assert {r.doc_id: r.keep_id for r in exact.exact_dedup(docs).collect()} == {"b10": "b10", "b9": "b10", "é": "é", "a": "a", None: None, "z": "z"}
+
+
+def test_hot_classes_meet_their_verdict_by_broadcast(spark, monkeypatch):
+    """Whether texts and classes count as hot or not, the verdicts are the same."""
+    change = lambda t, k: " ".join(w if i != 20 + k else "other" for i, w in enumerate(t.split()))
+    rows = [(i, LONG[0]) for i in range(12)] + [(20 + k, change(LONG[0], k)) for k in range(6)] + [(40 + k, LONG[1 + k % 2]) for k in range(4)] + [(60, None), (None, LONG[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {**{i: (0, 18) for i in [*range(12), *range(20, 26)]}, 40: (40, 2), 42: (40, 2), 41: (41, 2), 43: (41, 2), 60: (60, 1), None: (None, 1)}
+    for hot in (near.HOT, 1, 3):
+        monkeypatch.setattr(near, "HOT", hot)
+        assert {r.doc_id: (r.class_id, r.class_size) for r in near.near_duplicates(docs).collect()} == want
+
+
+def test_labels_that_contradict_are_left_out(spark):
+    from pyspark.sql import functions as F
+
+    from lumenfold.llm import sample
+
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 1), (2, 0), (2, 0), (3, None), (None, 1)], "doc_id long, quality int")
+    got = sample.labelled(docs, labels, "doc_id", "text", "quality", F.lit(True), 10).collect()
+    assert sorted((r.id, r.label) for r in got) == [(0, 1), (2, 0)]
