@@ -71,11 +71,11 @@ def scale(a: DataFrame, scales: DataFrame) -> DataFrame:
 def ruiz(a: DataFrame, sweeps: int = 5, seed: DataFrame | None = None) -> DataFrame:
     """``axis, idx, scale`` after at most ``sweeps`` simultaneous row and column sweeps; stops once all norms are within 0.1 of 1.
 
-    ``seed`` gives initial scales. Zero rows and columns keep theirs. Each sweep is one grouping; a
-    checkpoint after each keeps plans short.
+    ``seed`` gives initial scales. Zero rows and columns keep theirs. The matrix is written once; each sweep is one grouping and one written table.
     """
     from lumenfold.plans.shared import checkpoint
 
+    a = checkpoint(a.select("row", "col", "val"))
     found = checkpoint(seed if seed is not None else norms(a).select("axis", "idx", F.lit(1.0).alias("scale")))
     for _ in range(sweeps):
         now = norms(scale(a, found)).where("norm > 0")
@@ -83,7 +83,7 @@ def ruiz(a: DataFrame, sweeps: int = 5, seed: DataFrame | None = None) -> DataFr
         far = new.agg(F.max(F.abs(1 - F.col("norm")))).first()[0]
         if far is None or far < 0.1:
             break
-        found = checkpoint(new.select("axis", "idx", F.when(F.col("norm").isNotNull(), F.col("scale") / F.sqrt("norm")).otherwise(F.col("scale")).alias("scale")))
+        found = new.select("axis", "idx", F.when(F.col("norm").isNotNull(), F.col("scale") / F.sqrt("norm")).otherwise(F.col("scale")).alias("scale"))
     return found
 
 

@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.kernels import matching as mt
 from lumenfold.kernels import solver as sv
 from lumenfold.plans.options import SolveOptions
 
@@ -44,13 +43,14 @@ def values_of(pdf: pd.DataFrame, options: SolveOptions) -> np.ndarray:
     return (pdf.re.to_numpy() + 1j * pdf.im.to_numpy() if kind.kind == "c" else pdf.re.to_numpy()).astype(kind)
 
 
-def run(a: DataFrame, b: DataFrame | None, options: SolveOptions, want: tuple[str, ...] = ("x", "report"), n: int | None = None, trans: str = "N", values: DataFrame | None = None) -> DataFrame:
+def run(a: DataFrame, b: DataFrame | None, options: SolveOptions, want: tuple[str, ...] = ("x", "report"), n: int | None = None, trans: str = "N", values: DataFrame | None = None, on_error: str = "raise") -> DataFrame:
     """Every wanted part of every system, in long form (``OUT``).
 
     ``a``: row, col, val (or re, im), optionally system_id; duplicates are summed. ``b``: idx, rhs_id, val. ``values``: a
     second matrix with the same pattern, factored with the first one's analysis. Without ``n`` a system's size is its largest index + 1. Nulls are
     refused. A system is one task (``Solver`` splits one over several, and keeps factors); the guard ``max_factor_nonzeros``, if set, refuses
-    large factors before anything is allocated.
+    large factors before anything is allocated. ``on_error="report"`` gives a malformed system (an entry outside ``n``, say) the status ``error`` instead of
+    failing all of them.
     Parts: x, report, perm, scale, supernode, block, source, etree, match, l_solve, u_solve, lower, upper, diag, phase.
     """
     mats = checked(complex_parts(keyed(a)), ["row", "col", "re"]).select("system_id", F.lit(0).cast("byte").alias("what"), F.col("row").alias("i"), F.col("col").alias("j"), "re", "im")
@@ -60,6 +60,13 @@ def run(a: DataFrame, b: DataFrame | None, options: SolveOptions, want: tuple[st
         mats = mats.union(checked(complex_parts(keyed(b)), ["idx", "re"]).select("system_id", F.lit(2).cast("byte"), F.col("idx"), F.col("rhs_id").cast("long"), "re", "im"))
     solves = b is not None
 
+    def guarded(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return one(pdf)
+        except (ValueError, IndexError, ArithmeticError, np.linalg.LinAlgError) as error:
+            text = json.dumps({"status": "error", "message": str(error) or type(error).__name__, "factorized": False})
+            return pd.DataFrame({"system_id": pdf.system_id.iloc[:1], "part": "report", "i": 0, "j": 0, "k": 0, "re": math.nan, "im": 0.0, "text": text})
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         system = pdf.system_id.iloc[0]
         kind, what = np.dtype(options.dtype), pdf.what.to_numpy()
@@ -123,7 +130,7 @@ def run(a: DataFrame, b: DataFrame | None, options: SolveOptions, want: tuple[st
         put("report", 0, text=json.dumps(report))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("system_id", "part", "i", "j", "k", "re", "im", "text")})
 
-    return mats.groupBy("system_id").applyInPandas(one, OUT)
+    return mats.groupBy("system_id").applyInPandas(guarded if on_error == "report" else one, OUT)
 
 
 def _symmetry(row: np.ndarray, col: np.ndarray, n: int) -> float:
@@ -146,9 +153,14 @@ def solve(a: DataFrame, b: DataFrame, options: SolveOptions = SolveOptions(), **
 
 
 def parity_of(perm: DataFrame) -> DataFrame:
-    """Sign of one permutation ``orig, internal`` by its cycles."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"sign": [mt.parity(pdf.sort_values("orig").internal.to_numpy())]})
-
-    return perm.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(one, "sign int")
+    """Sign of one permutation ``orig, internal``: even cycles turn it. Cycles are found by doubling: every element learns the least of 2, 4, 8, ... successors."""
+    from lumenfold.plans.shared import checkpoint
+
+    at = checkpoint(perm.select(F.col("orig").alias("v"), F.col("internal").alias("to"), F.least("orig", "internal").alias("low")))
+    n, reach = at.count(), 1
+    while reach < n:
+        after = at.select(F.col("v").alias("to"), F.col("to").alias("next"), F.col("low").alias("far"))
+        at = checkpoint(at.join(after, "to").select("v", F.col("next").alias("to"), F.least("low", "far").alias("low")))
+        reach *= 2
+    cycles = at.groupBy("low").count()
+    return cycles.agg(F.when(F.count_if(F.col("count") % 2 == 0) % 2 == 0, 1).otherwise(-1).cast("int").alias("sign"))

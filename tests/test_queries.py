@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lumenfold.plans import factor_queries  # noqa: F401
+from lumenfold.plans import corpus_queries, factor_queries  # noqa: F401
 from lumenfold.plans import queries as linear
 
 SF = "/root/testdata/sf0.001"

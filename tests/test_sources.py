@@ -61,3 +61,22 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("idx long, rhs_id int, val double").parquet(str(tmp_path / "in"))
     solve_stream(gen.laplacian2d(spark, 4, 4), stream, lambda df, _: got.extend(df.collect())).awaitTermination(120)
     assert len(got) == 16
+
+
+def test_ranges_of_a_large_file(spark, tmp_path):
+    """However a file is cut into ranges, its entries are the same; a file of several ranges that ends early is refused."""
+    rows = [f"{1 + i % 50} {1 + i * 7 % 50} {i / 4}" for i in range(500)]
+    text = "%%MatrixMarket matrix coordinate real symmetric\n% note\n\n50 50 500\n" + "\n".join(rows) + "\n"
+    (p := tmp_path / "a.mtx").write_text(text)
+    want = sorted(mm.read_matrix(spark, str(p)).collect())
+    for size in (37, 400, 5000):
+        assert sorted(mm.read_matrix(spark, str(p), range_bytes=size).collect()) == want
+    p.write_text(text.replace("50 50 500", "50 50 501"))
+    with pytest.raises(ValueError, match="early"):
+        mm.read_matrix(spark, str(p), range_bytes=400)
+
+
+def test_malformed_systems_are_reported_alone(spark):
+    a = gen.laplacian2d(spark, 4, 4).join(spark.range(2).withColumnRenamed("id", "system_id")).union(spark.sql("SELECT 99L, 0L, 1.0D, 1L"))
+    r = {x.system_id: x for x in so.report(so.run(a, None, so.SolveOptions(), n=16, on_error="report")).collect()}
+    assert r[0].status == "success" and r[1].status == "error" and "outside" in r[1].message
