@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.sample import labelled
+from lumenfold.llm.store import Tables
 from lumenfold.llm.textarrays import U, Words, pieces
 
 #: Hashed term space, labelled documents fitted at most, the machine's factors, rows multiplied at once while fitting.
@@ -56,7 +57,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, rounds: int = 250, rate: flo
     if not n or pos in (0, n):
         prior = (pos + 1) / (n + 2)
         return Machine(np.zeros(0, np.int64), float(np.log(prior / (1 - prior))), np.zeros(0), np.zeros((0, FACTORS)))
-    all_terms = np.concatenate(docs)
+    all_terms = np.concatenate(docs).astype(np.int64)
     row = np.repeat(np.arange(n), [len(d) for d in docs])
     slots, inverse, seen = np.unique(all_terms, return_inverse=True, return_counts=True)
     with_pos = np.bincount(inverse, labels[row], len(slots))
@@ -109,7 +110,29 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_on: Column, id_col: s
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
                 yield pa.record_batch([batch.column(2).slice(a, b - a), pa.array([slot[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in range(b - a)], pa.binary()), batch.column(0).slice(a, b - a).cast(pa.string())], names=["label", "terms", "id"])
 
-    rows = labelled(docs, labels, id_col, text_col, label_col, fit_on, most).mapInArrow(collect_terms, "label int, terms binary, id string").collect()
+    fitted = Tables(spark, "toxicity").keep(labelled(docs, labels, id_col, text_col, label_col, fit_on, most).mapInArrow(collect_terms, "label int, terms binary, id string"))
+    n, pos = fitted.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+
+    def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x, np.int32) for x in batch.column(1).to_pylist()]
+            slots, at = np.unique(np.concatenate([*found, np.zeros(0, np.int32)]), return_inverse=True)
+            label = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+            yield pa.record_batch([pa.array(slots), pa.array(np.bincount(at, minlength=len(slots))), pa.array(np.bincount(at, label, len(slots)).astype(np.int64))], names=["slot", "seen", "pos"])
+
+    # Only telling terms, and of each text only those, reach the driver.
+    counts = fitted.mapInArrow(count_terms, "slot int, seen long, pos long").groupBy("slot").agg(F.sum("seen").alias("seen"), F.sum("pos").alias("pos")).where(F.col("seen") >= SEEN)
+    share = F.greatest(F.col("seen") / n * (1 - F.col("seen") / n), F.lit(1 / max(n, 1)))
+    z = ((F.col("pos") + 0.5) / (pos + 1) - (F.col("seen") - F.col("pos") + 0.5) / (n - pos + 1)) / F.sqrt(share * (1 / max(pos, 1) + 1 / max(n - pos, 1)))
+    strong = np.array(sorted(r.slot for r in counts.where(F.abs(z) > TELLS * 0.999).select("slot").collect()) if 0 < pos < n else [], np.int32)
+    telling = spark.sparkContext.broadcast(strong)
+
+    def keep_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [x[np.isin(x, telling.value)].tobytes() for x in (np.frombuffer(t, np.int32) for t in batch.column(1).to_pylist())]
+            yield pa.record_batch([batch.column(0), pa.array(some, pa.binary()), batch.column(2)], names=["label", "terms", "id"])
+
+    rows = fitted.mapInArrow(keep_terms, "label int, terms binary, id string").collect()
     rows.sort(key=lambda r: (r.id, r.terms))
     model = fit([np.frombuffer(r.terms, np.int32).astype(np.int64) for r in rows], np.array([r.label for r in rows], np.float32))
     held = spark.sparkContext.broadcast(model)
