@@ -15,6 +15,8 @@ _rng = np.random.default_rng(20240613)
 #: A random 64-bit value for each byte, and the odd base of the rolling names; two of each, for 128-bit checks.
 BYTE = [_rng.integers(0, 2**64, 256, dtype=U) for _ in range(2)]
 BASE = [U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)]
+#: Bytes whose words are named at once.
+RUN = 1 << 20
 _powers: dict[int, list[np.ndarray]] = {}
 
 SPACE = np.zeros(256, bool)
@@ -86,11 +88,28 @@ class Words:
         self.name = self.names[0] if names else None
 
     def _name(self, buf: np.ndarray, kind: int) -> np.ndarray:
-        up, down = _power(kind, len(buf) + 1)
+        """Sum of each word's bytes times powers of BASE from its start, scattered. Words go in runs of about RUN bytes, so a long text needs no wider arrays than a short one."""
+        out = np.zeros(len(self.start), U)
+        i = 0
         with np.errstate(over="ignore"):
-            total = np.zeros(len(buf) + 1, U)
-            np.cumsum(BYTE[kind][buf] * up[: len(buf)], out=total[1:])
-            return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U))
+            while i < len(out):
+                low = int(self.start[i])
+                j = max(i + 1, int(np.searchsorted(self.end, low + RUN, "right")))
+                high = int(self.end[j - 1])
+                if high - low > RUN:  # one long word
+                    total, step = 0, pow(int(BASE[kind]), RUN, 2**64)
+                    for at in reversed(range(low, high, RUN)):
+                        part = buf[at : min(at + RUN, high)]
+                        total = (total * step + int((BYTE[kind][part] * _power(kind, RUN)[0][: len(part)]).sum(dtype=U))) % 2**64
+                    out[i] = U(total)
+                else:
+                    up, down = _power(kind, high - low + 1)
+                    total = np.zeros(high - low + 1, U)
+                    np.cumsum(BYTE[kind][buf[low:high]] * up[: high - low], out=total[1:])
+                    s, e = self.start[i:j] - low, self.end[i:j] - low
+                    out[i:j] = (total[e] - total[s]) * down[s]
+                i = j
+            return mix(out + (self.end - self.start).astype(U))
 
 
 def windows(words: Words, size: int, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
