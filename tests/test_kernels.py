@@ -118,3 +118,15 @@ def test_failures_are_reported():
         SolveOptions(matching="other")
     with pytest.raises(ValueError):
         sv.assemble(2, np.array([2]), np.array([0]), np.array([1.0]))
+
+
+def test_transversal_leaves_a_good_diagonal():
+    """Two hubs whose rows hold somewhat larger entries than the leaves' own diagonal: exchanging them would fill the factors."""
+    n = 40
+    leaf, hub = np.arange(2, n), np.arange(2, n) % 2
+    row = np.concatenate([np.arange(n), hub, leaf])
+    col = np.concatenate([np.arange(n), leaf, hub])
+    val = np.concatenate([[900.0, 900.0], np.full(n - 2, 30.0), np.full(n - 2, 50.0), np.ones(n - 2)])
+    row, col, val = sv.assemble(n, row, col, val)
+    match, perfect = mt.transversal(n, np.searchsorted(col, np.arange(n + 1)), row, val)
+    assert perfect and (match == np.arange(n)).all()
