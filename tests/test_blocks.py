@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenfold.operators import blocks as bl
 from lumenfold.operators import pattern as pt
 from lumenfold.operators import solve as so
+from lumenfold.operators.factored import Solver
 from lumenfold.sources import generate as gen
 
 
@@ -45,3 +46,34 @@ def test_split_solution(spark, trans):
     assert len(got) == 75 and all(abs(v - (1 + 0.25 * (i % 5) if i % 3 == 0 else 0)) < 1e-9 for i, v in got.items())
     plain, split = (sorted((r.idx, r.val) for r in so.solve(a, one, n=80, trans=trans, split=s).collect()) for s in (False, True))
     assert np.array_equal(plain, split, equal_nan=True)
+
+
+def test_kept_factors_by_blocks(spark):
+    """Factors of blocks solve, multiply back in the whole numbering, take new values, and tell how it went."""
+    a, x = copies(spark), gen.ramp(spark, 75, 2)
+    for jobs in (1, 3):
+        s = Solver(spark, jobs=jobs, split=True).compute(a)
+        assert s.factorizations.value == 3
+        for trans in "NT":
+            got = s.solve(pt.multiply(a, x, transpose=trans == "T"), trans).collect()
+            assert len(got) == 150 and all(abs(r.val - 1 - 0.25 * (r.idx % 5) - r.rhs_id) < 1e-9 for r in got)
+        assert [r.status for r in s.status().collect()] == ["success"]
+        dense = {}
+        for name, part in (("l", s.lower()), ("u", s.upper()), ("lu", s.product()), ("a", a)):
+            dense[name] = np.zeros((75, 75))
+            for r in part.collect():
+                dense[name][r.row, r.col] += r.val
+        p, scale = s.permutation().collect(), s.scales().collect()
+        row, col, dr, dc = (np.zeros(75) for _ in range(4))
+        for r in p:
+            row[r.orig], col[r.orig] = r.row, r.col
+        for r in scale:
+            dr[r.idx], dc[r.idx] = r.row_scale, r.col_scale
+        assert np.array_equal(dense["l"], np.tril(dense["l"])) and np.array_equal(dense["u"], np.triu(dense["u"]))
+        assert np.allclose(dense["l"] @ dense["u"], dense["lu"], atol=1e-12)
+        back = dense["lu"][np.ix_(row.astype(int), col.astype(int))] / dr[:, None] / dc
+        assert np.allclose(back, dense["a"])
+        twice = a.withColumn("val", 2 * F.col("val"))
+        got = s.factorize(twice).solve(pt.multiply(a, x)).collect()
+        assert all(abs(2 * r.val - 1 - 0.25 * (r.idx % 5) - r.rhs_id) < 1e-9 for r in got)
+        s.drop()

@@ -130,3 +130,17 @@ def test_transversal_leaves_a_good_diagonal():
     row, col, val = sv.assemble(n, row, col, val)
     match, perfect = mt.transversal(n, np.searchsorted(col, np.arange(n + 1)), row, val)
     assert perfect and (match == np.arange(n)).all()
+
+
+@pytest.mark.parametrize("kind", [float, complex])
+def test_product_in_pieces(monkeypatch, kind):
+    monkeypatch.setattr(sv, "PAIRS", 50)
+    n, row, col, val = grid(6)
+    f = sv.factorize(sv.analyze(n, row, col, val.astype(kind), LEVELLED.but(dtype="complex128" if kind is complex else "float64")), row, col, val * (1 + 1j if kind is complex else 1))
+    low, up, got = (np.zeros((n, n), kind) for _ in range(3))
+    for out, part in ((low, f.triangle("lower")), (up, f.triangle("upper"))):
+        out[part[0], part[1]] = part[2]
+    pieces = list(f.product())
+    for i, j, v in pieces:
+        got[i, j] += v
+    assert len(pieces) > 5 and np.allclose(got, low @ up)
