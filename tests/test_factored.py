@@ -71,3 +71,27 @@ def test_blocked_dense_factorization():
     for k in range(2):
         assert np.allclose((np.tril(lu[k], -1) + np.eye(150)) @ np.triu(lu[k]), a[k][p[k]][:, q[k]])
     assert not bumped and not zero.any()
+
+
+def test_updates_of_many_leaves_are_merged():
+    """40 leaves that share 5 rows: their updates leave as 25 entries, the sum of all."""
+    n, leaves = 45, np.arange(40)
+    far = np.arange(40, 45)
+    row = np.concatenate([np.arange(n), np.repeat(leaves, 5), np.tile(far, 40)])
+    col = np.concatenate([np.arange(n), np.tile(far, 40), np.repeat(leaves, 5)])
+    val = np.concatenate([np.full(n, 100.0), np.arange(1.0, 201), np.ones(200)])
+    an = sv.analyze(n, row, col, val, LEVELLED.but(ordering="natural", matching="none", relaxed_width=0, equilibrate=False, pivoting="none"))
+    f, scaled = sv.prepare(an, row, col, val)
+    fronts = sv.Fronts(n, an.structure)
+    ir, ic = an.row_to[f.row], an.col_to[f.col]
+    low = np.flatnonzero(fronts.last < 40)
+    mine = np.isin(fronts.of[np.minimum(ir, ic)], low)
+    _, leaving, _, _ = sv.eliminate(fronts, low, ir[mine], ic[mine], scaled[mine], [], "none", 0.0)
+    i, j, v = sv.merged(fronts, leaving, scaled.dtype)
+    want = np.zeros((n, n))
+    for k, block in leaving:
+        r = fronts.rows[fronts.start[k] : fronts.start[k + 1]]
+        want[np.ix_(r, r)] += block
+    got = np.zeros((n, n))
+    got[i, j] = v
+    assert len(leaving) > 30 and len(i) == 25 and np.allclose(got, want)
