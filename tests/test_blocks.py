@@ -77,3 +77,10 @@ def test_kept_factors_by_blocks(spark):
         got = s.factorize(twice).solve(pt.multiply(a, x)).collect()
         assert all(abs(2 * r.val - 1 - 0.25 * (r.idx % 5) - r.rhs_id) < 1e-9 for r in got)
         s.drop()
+
+
+def test_product_by_blocks_and_lanes(spark):
+    a, x = copies(spark), gen.ramp(spark, 75, 5)
+    got = {(r.idx, r.rhs_id): r.re for r in Solver(spark, split=True).compute(a).multiply(x, 3).collect()}
+    want = {(r.idx, r.rhs_id): r.val for r in pt.multiply(a, x).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
