@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -144,3 +145,40 @@ def test_product_in_pieces(monkeypatch, kind):
     for i, j, v in pieces:
         got[i, j] += v
     assert len(pieces) > 5 and np.allclose(got, low @ up)
+
+
+def star(leaves, hub, picks, rnd):
+    """Leaves that each join some of a few hub nodes: every leaf's update goes to the one front of the hub."""
+    leaf = np.repeat(np.arange(leaves), picks)
+    to = leaves + np.concatenate([rnd.choice(hub, picks, replace=False) for _ in range(leaves)])
+    n, val = leaves + hub, rnd.random(len(leaf)) + 0.5
+    row, col = np.concatenate([leaf, to]), np.concatenate([to, leaf])
+    val = np.concatenate([val, val * 0.7])
+    diag = 1 + np.bincount(row, val, n)
+    return n, np.concatenate([row, np.arange(n)]), np.concatenate([col, np.arange(n)]), np.concatenate([val, diag])
+
+
+def peak_of(f):
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_updates_do_not_pile_up_before_a_front():
+    n, row, col, val = star(6000, 200, 30, np.random.default_rng(2))
+    an = sv.analyze(n, row, col, val, DYNAMIC)
+    f, peak = peak_of(lambda: sv.factorize(an, row, col, val))
+    kept = sum(getattr(s, a).nbytes for s in f.stacks for a in sv.ARRAYS)
+    updates = int((an.structure.below**2).sum()) * 8
+    assert updates > 40e6 and peak < kept + 9 * len(row) * 8 + 0.8 * updates
+    x = 1 + 0.25 * (np.arange(n) % 5)
+    assert abs(f.solve(np.bincount(row, val * x[col], n)[:, None])[:, 0] - x).max() < 1e-10
+
+
+def test_greatest_product_holds_costs_as_arrays():
+    n, *entries = star(6000, 200, 30, np.random.default_rng(2))
+    row, col, val = sv.assemble(n, *entries)
+    (match, perfect, *_), peak = peak_of(lambda: mt.max_product(n, np.searchsorted(col, np.arange(n + 1)), row, val))
+    assert perfect and (match == np.arange(n)).all() and peak < 5 * (row.nbytes + val.nbytes) / 2
