@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from lumenfold.llm import html, mixing, near, quality_rules, ranking, toxicity
 
@@ -89,6 +90,34 @@ def test_ranking_cut_is_the_best_quantile():
     assert wins > 0.95
 
 
+def test_ranking_meets_all_pairs():
+    """Where the fit ends, the loss of all pairs, pair by pair, has no slope left; its edges are order statistics of all rows."""
+    rnd = np.random.default_rng(4)
+    x = np.stack([rnd.normal(size=700), rnd.integers(0, 3, 700), -rnd.exponential(size=700) ** 3], 1).astype(np.float32).astype(float)
+    labels = (x[:, 0] + x[:, 1] + rnd.normal(size=700) > 1.5).astype(int)
+    r = ranking.fit(x, labels)
+    for e, v in zip(r.edges, x.T, strict=True):
+        assert e.tolist() == sorted(set(np.sort(v)[np.arange(1, ranking.BINS) * 700 // ranking.BINS]))
+    hot = np.concatenate([np.eye(len(e) + 1)[np.searchsorted(e, v, "right")] for e, v in zip(r.edges, x.T, strict=True)], 1)
+    w = np.concatenate(r.weights)
+    raw = hot @ w
+    lost = 1 / (1 + np.exp(raw[labels == 1][:, None] - raw[labels == 0]))
+    slope = (lost.sum(0) @ hot[labels == 0] - lost.sum(1) @ hot[labels == 1]) / lost.size + 1e-4 * w
+    assert abs(slope).max() < 1e-3
+
+
+def test_ranking_is_fitted_on_every_labelled_row(spark):
+    """More rows than a bounded sample had, over many tasks: the scores are those of the ranker fitted on all of them in memory."""
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("ab,. 1A\n" if i % 2 else "ab,. 1AA\n!") for _ in range(rnd.randint(5, 40))) for i in range(21_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    labels = spark.range(len(texts)).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    got = dict(map(tuple, ranking.score_quality(docs, labels, F.lit(True)).collect()))
+    x = np.concatenate([ranking.features(buf, off) for _, _, buf, off in ranking.pieces(pa.array(texts))]).astype(np.float32).astype(float)
+    want = ranking.fit(x, np.arange(len(texts)) % 2).score(x)
+    assert len(got) == len(texts) and all(got[i] == v for i, v in enumerate(want.tolist()))
+
+
 def shingles(text):
     w = (text or "").encode().split()
     return collections.Counter(tuple(w[k : k + near.SHINGLE]) for k in range(max(1, len(w) - near.SHINGLE + 1))) if w else {}
