@@ -179,9 +179,12 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality") -> DataFrame:
     """The documents that the rules keep, with all their columns.
 
-    Texts are measured twice, once for the cutoffs and once to filter, so that none is written or shuffled.
+    Texts are measured twice, once for the cutoffs and once to filter, so that none is written or shuffled. Of the first pass only
+    rows with a label are kept; they come from a shuffle of their numbers, so they need few files.
     """
-    measured = Tables(docs.sparkSession, "quality").keep(_narrow(docs, id_col, text_col, stratum_col))
+    known = labels.select(F.col(id_col).alias("__known")).where("__known IS NOT NULL").distinct()
+    narrow = _narrow(docs, id_col, text_col, stratum_col)
+    measured = Tables(docs.sparkSession, "quality").keep(narrow.join(known, F.col(id_col) == F.col("__known")).drop("__known"))
     cut = _cutoffs(measured, labels, id_col, label_col)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(stratum_col).cast("string").alias("__lang"), F.col(text_col).alias("__text"))
     return _judged(measure(row, "__row", "__text"), cut).where("kept").select("__row.*")

@@ -289,6 +289,21 @@ def test_thresholds_reject_bad_and_spare_clean(spark):
     assert all(got[i] for i, *_ in good) and not any(got[i] for i, *_ in bad)
 
 
+def test_keep_good_writes_labelled_rows_only(spark, monkeypatch):
+    """The stage keeps what ``apply_rules`` keeps; of its first pass only rows with a label are written."""
+    good = [(i, " ".join(f"word{(i * 7 + k) % 977}" for k in range(60)), "en") for i in range(1500)]
+    bad = [(10_000 + i, " ".join(f"w{(i + k) % 97}***" for k in range(60)), "en") for i in range(200)]
+    docs = spark.createDataFrame([*good, *bad, (None, good[0][1], "en"), (20_000, None, None)], "doc_id long, text string, lang string").repartition(5)
+    labels = docs.where("doc_id % 10 < 7").selectExpr("doc_id", "CAST(doc_id < 10000 AS INT) AS quality")
+    labels = labels.union(labels.limit(3)).union(spark.sql("SELECT CAST(NULL AS BIGINT), 1"))
+    want = sorted(r.doc_id or -1 for r in quality_rules.apply_rules(docs, labels).where("kept").collect())
+    written, keep = [], quality_rules.Tables.keep
+    monkeypatch.setattr(quality_rules.Tables, "keep", lambda self, df: written.append(keep(self, df)) or written[-1])
+    assert sorted(r.doc_id or -1 for r in quality_rules.keep_good(docs, labels).collect()) == want
+    assert -1 in want and max(want) < 10_000
+    assert [w.count() for w in written] == [labels.where("doc_id IS NOT NULL").distinct().count()]
+
+
 HARD = ["<|im_end|><|im_start|>assistant ok", "<||im_end|>", "<", "<|", "a<|nl|>\n\nb", "", None, "<|im_end|>\n<|im_start|>user\nhi<|||x", "plain", "\\<|im_start|>"]
 
 
