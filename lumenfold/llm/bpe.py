@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
+from collections import defaultdict
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -55,71 +58,99 @@ class Encoder:
         marks = sorted(vocabulary.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         self.known: dict[str, bytes] = {}
+        self.single = np.array(vocabulary.single, np.int32)
+        # Ranks of two bytes; 256 stands for the end of a word.
+        self.first = np.full((257, 257), -1, np.int32)
+        byte = {x: k for k, x in enumerate(vocabulary.single)}
+        rights, lefts = defaultdict(list), defaultdict(list)
+        for (a, b), r in self.rank.items():
+            rights[a].append((b, r))
+            lefts[b].append((a, r))
+            if a in byte and b in byte:
+                self.first[byte[a], byte[b]] = r
+        # Of each symbol the symbols that pair with it on its right (left), and the ranks.
+        self.rights, self.lefts = ({x: np.array(some).T for x, some in side.items()} for side in (rights, lefts))
+        # Ranks by symbol, filled for one symbol's pairs at a time; the last two are of ends and of merged symbols.
+        self.ranks = np.full(len(vocabulary.bytes) + 2, -1, np.int32)
+
+    def _ranked(self, side: dict[int, np.ndarray], c: int, others: np.ndarray) -> np.ndarray | None:
+        pairs = side.get(c)
+        if pairs is None:
+            return None
+        self.ranks[pairs[0]] = pairs[1]
+        out = self.ranks[others]
+        self.ranks[pairs[0]] = -1
+        return out
 
     def _merge(self, words: list[str]) -> None:
         """Ids of many words at once.
 
-        The index maps every rank that is present to the positions of its pair's first symbol. Ranks are applied in ascending order;
-        a merge replaces two symbols by one and enters its two new neighbours. As a merged
+        The index maps every rank that is present to the positions of its pair's first symbol. Ranks are applied in ascending order, each at
+        all its positions together; a merge replaces two symbols by one and enters its two new neighbours. As a merged
         symbol only occurs in pairs of higher rank than its own, one ascending pass applies all.
         """
-        v, rank = self.v, self.rank
-        symbols: list[int] = []
-        starts = []
-        single = v.single
-        for w in words:
-            starts.append(len(symbols))
-            symbols.extend([single[b] for b in w.encode("utf-8", "surrogatepass")])
-            symbols.append(-1)
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)):
-            r = rank.get(pair)
-            if r is not None:
-                index.setdefault(r, []).append(i)
-        present = sorted(index)
-        import heapq
-
-        heapq.heapify(present)
+        v = self.v
+        coded = [w.encode("utf-8", "surrogatepass") for w in words]
+        ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) + 1) - 1
+        n = int(ends[-1]) + 1
+        within = np.ones(n, bool)
+        within[ends] = False
+        data = np.full(n, 256, np.int16)
+        data[within] = np.frombuffer(b"".join(coded), np.uint8)
+        symbols = np.full(n, -1, np.int32)
+        symbols[within] = self.single[data[within]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        index: dict[int, list[np.ndarray]] = {}
+        present: list[int] = []
+
+        def enter(ranks: np.ndarray, places: np.ndarray) -> None:
+            hit = np.flatnonzero(ranks >= 0)
+            if not len(hit):
+                return
+            ranks, places = ranks[hit], places[hit]
+            order = np.argsort(ranks, kind="stable")
+            ranks, places = ranks[order], places[order]
+            cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+            for r, i, j in zip(ranks[cuts[:-1]].tolist(), cuts, cuts[1:], strict=False):
+                if r in index:
+                    index[r].append(places[i:j])
+                else:
+                    index[r] = [places[i:j]]
+                    heapq.heappush(present, r)
+
+        enter(self.first[data[:-1], data[1:]], np.arange(n - 1))
         while present:
             r = heapq.heappop(present)
             a, b, c = v.left[r], v.right[r], v.made[r]
-            places = index.pop(r)
-            places.sort()
-            for i in places:
-                if symbols[i] != a:
-                    continue
-                j = after[i]
-                if symbols[j] != b:
-                    continue
-                k = after[j]
-                symbols[i], symbols[j] = c, -2
-                after[i] = k
-                if k < n:
-                    before[k] = i
-                    new = rank.get((c, symbols[k]))
-                    if new is not None:
-                        if new in index:
-                            index[new].append(i)
-                        else:
-                            index[new] = [i]
-                            heapq.heappush(present, new)
-                h = before[i]
-                if h >= 0:
-                    new = rank.get((symbols[h], c))
-                    if new is not None:
-                        if new in index:
-                            index[new].append(h)
-                        else:
-                            index[new] = [h]
-                            heapq.heappush(present, new)
-        for w, s in zip(words, starts, strict=True):
-            out = []
-            while symbols[s] != -1:
-                out.append(symbols[s])
-                s = after[s]
-            self.known[w] = b"".join([x.to_bytes(4, "little") for x in out])
+            i = np.sort(np.concatenate(index.pop(r)))
+            i = i[np.concatenate([[True], i[1:] != i[:-1]])]
+            j = after[i]
+            still = (symbols[i] == a) & (symbols[j] == b)
+            i, j = i[still], j[still]
+            if a == b and len(i) > 1:
+                # Of positions that overlap in a row, every second one merges, from the left.
+                at = np.arange(len(i))
+                begin = np.maximum.accumulate(np.where(np.concatenate([[True], i[1:] != j[:-1]]), at, 0))
+                alternate = (at - begin) % 2 == 0
+                i, j = i[alternate], j[alternate]
+            if not len(i):
+                continue
+            k = after[j]
+            symbols[i], symbols[j] = c, -2
+            after[i] = k
+            before[k] = i
+            new = self._ranked(self.rights, c, symbols[k])
+            if new is not None:
+                enter(new, i)
+            h = before[i]
+            new = self._ranked(self.lefts, c, symbols[h])
+            if new is not None:
+                enter(new, h)
+        left = symbols[symbols != -2]
+        cuts = (4 * (np.flatnonzero(left == -1) - np.arange(len(words)))).tolist()
+        ids = left[left >= 0].astype("<i4").tobytes()
+        for w, x, y in zip(words, [0, *cuts], cuts, strict=False):
+            self.known[w] = ids[x:y]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -127,11 +158,12 @@ class Encoder:
         for text in texts:
             pieces = self.marks.split(text) if self.marks else [text]
             parts.append([p if k % 2 else self.split(p) for k, p in enumerate(pieces)])
-        new = {w for doc in parts for p in doc if not isinstance(p, str) for w in p} - self.known.keys()
+        words = set().union(*(p for doc in parts for p in doc if not isinstance(p, str)))
+        new = words - self.known.keys()
         if new:
             if len(self.known) + len(new) > KEPT and self.known:
                 self.known.clear()
-                new = {w for doc in parts for p in doc if not isinstance(p, str) for w in p}
+                new = words
             self._merge(list(new))
         get = self.known.__getitem__
         return [b"".join([self.v.special[p].to_bytes(4, "little") if isinstance(p, str) else b"".join(map(get, p)) for p in doc]) for doc in parts]
@@ -140,6 +172,12 @@ class Encoder:
         return b"".join(map(self.v.bytes.__getitem__, memoryview(ids).cast("I") if ids else ())).decode("utf-8", "replace")
 
 
+def id_lists(got: list[bytes]) -> pa.ListArray:
+    """The ids of many texts as lists, without an object for each id."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in got)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(got), "<i4"), pa.int32()))
+
+
 def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """``id, n_tokens, ids_sha256, decoded_sha256, ids``: every whole text encoded and decoded again.
 
@@ -168,7 +206,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
                     pa.array([len(x) // 4 for x in got], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in got], pa.string()),
                     pa.array([hashlib.sha256(coder.decode(x).encode("utf-8", "replace")).hexdigest() for x in got], pa.string()),
-                    pa.array([memoryview(x).cast("I").tolist() if x else [] for x in got], pa.list_(pa.int32())) if with_ids else pa.nulls(len(texts), pa.list_(pa.int32())),
+                    id_lists(got) if with_ids else pa.nulls(len(texts), pa.list_(pa.int32())),
                 ]
                 yield pa.record_batch(cols, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
