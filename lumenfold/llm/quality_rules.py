@@ -187,7 +187,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     measured = Tables(docs.sparkSession, "quality").keep(narrow.join(known, F.col(id_col) == F.col("__known")).drop("__known"))
     cut = _cutoffs(measured, labels, id_col, label_col)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(stratum_col).cast("string").alias("__lang"), F.col(text_col).alias("__text"))
-    return _judged(measure(row, "__row", "__text"), cut).where("kept").select("__row.*")
+    judged = _judged(measure(row, "__row", "__text"), cut)
+    # As one condition on both sides of the join; "kept" is two, of which Spark would work out the first, with all it measures, below the join again.
+    failed = F.concat(F.array(F.when(F.col("base_failed"), F.lit(""))), "failed_rules")
+    return judged.where(F.size(F.array_compact(failed)) == 0).select("__row.*")
 
 
 def _oracle() -> str:

@@ -289,6 +289,14 @@ def test_thresholds_reject_bad_and_spare_clean(spark):
     assert all(got[i] for i, *_ in good) and not any(got[i] for i, *_ in bad)
 
 
+def test_keep_good_measures_a_text_once_to_filter(spark, docs, rows):
+    labels = spark.createDataFrame([(i, i % 2) for i in rows], "doc_id long, quality int")
+    plan = quality_rules.keep_good(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("xxhash64(") == 1
+    kept = sorted(r.doc_id for r in quality_rules.apply_rules(docs, labels).where("kept").collect())
+    assert sorted(r.doc_id for r in quality_rules.keep_good(docs, labels).collect()) == kept
+
+
 def test_keep_good_writes_labelled_rows_only(spark, monkeypatch):
     """The stage keeps what ``apply_rules`` keeps; of its first pass only rows with a label are written."""
     good = [(i, " ".join(f"word{(i * 7 + k) % 977}" for k in range(60)), "en") for i in range(1500)]
