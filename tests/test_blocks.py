@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.operators import blocks as bl
+from lumenfold.operators import factored as fd
 from lumenfold.operators import pattern as pt
 from lumenfold.operators import solve as so
 from lumenfold.operators.factored import Solver
@@ -84,3 +85,23 @@ def test_product_by_blocks_and_lanes(spark):
     got = {(r.idx, r.rhs_id): r.re for r in Solver(spark, split=True).compute(a).multiply(x, 3).collect()}
     want = {(r.idx, r.rhs_id): r.val for r in pt.multiply(a, x).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_compute_is_one_pass(spark):
+    """Analysis and factor of a block come from one task: one table is written, and right-hand sides have as many lanes as tasks are free."""
+    a = copies(spark)
+    s = Solver(spark, split=True).compute(a)
+    assert s.made == 1 and s.factorizations.value == 3
+    assert [s._lanes(k) for k in (1, 120)] == [1, 2] and s.tasks >= 3 * bl.SHARE
+
+
+def test_right_hand_sides_some_at_a_time(spark, monkeypatch):
+    """Solved two at a time, with the blocks that the product gave them: the same solutions, and one norm for each block."""
+    monkeypatch.setattr(fd, "ONCE", 50)
+    a, x = copies(spark), gen.ramp(spark, 75, 5)
+    s = Solver(spark, split=True).compute(a)
+    b = s.multiply(x, 3)
+    assert "block" in b.columns
+    got = s.solve(b).collect()
+    assert len(got) == 375 and all(abs(r.val - 1 - 0.25 * (r.idx % 5) - r.rhs_id) < 1e-9 for r in got)
+    assert s.norms.count() == 3 and [r.status for r in s.status().collect()] == ["success"] and s.solved.value == 15
